@@ -51,7 +51,7 @@ def one_run(piece: str) -> bool:
 class WordPieces(PieceCache):
     """Pieces between ASCII white space, which no token of the word BPE crosses; a closing sign after letters is a piece too."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 350_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         vocab = self.tokenizer.get_vocab()
@@ -142,7 +142,7 @@ def cut_documents(df: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen, task = word_encoder(tokenizer_path), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
-        for batch in common.slices(batches, limit=8 << 20):
+        for batch in common.slices(batches, limit=6 << 20):
             rows, whose, held = [], [], []
             for doc, ids in enumerate(enc.encode(common.column(batch, "text"))):
                 data = np.append(ids, end_id).astype("<u4")
