@@ -214,4 +214,5 @@ def digests(df: DataFrame, ranks_path: str, **parameters) -> DataFrame:
     index, path = materialise(df, ranks_path, **parameters)
     back = read_shards(df.sparkSession, path).select("slot", F.crc32("ids").alias("ids_crc32"))
     shard = F.floor(F.col("slot") / per_shard)
-    return index.join(back, "slot").select("doc_id", "start", "length", "slot", shard.alias("shard"), (F.col("slot") - shard * per_shard).alias("record"), "ids_crc32")
+    # Sizes of what Python reads are guesses to the planner: without the hint it would broadcast all records.
+    return index.join(back.hint("merge"), "slot").select("doc_id", "start", "length", "slot", shard.alias("shard"), (F.col("slot") - shard * per_shard).alias("record"), "ids_crc32")
