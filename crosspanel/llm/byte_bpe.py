@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import os
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -28,7 +29,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 from . import common
 
 #: Distinct pieces that a worker keeps; beyond that it starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
 #: Pieces in one string given to the library.
 JOINED = 512
 
@@ -72,6 +73,7 @@ def mapped(token: bytes) -> str:
 @cache
 def byte_tokenizer(ranks_path: str) -> tuple[Tokenizer, list[bytes]]:
     """The library's tokenizer and each id's bytes, once per worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
     ranks = read_ranks(ranks_path)
     vocab = {mapped(token): rank for token, rank in ranks.items()}
     tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=[(mapped(a), mapped(b)) for a, b in merges_from(ranks)], ignore_merges=True))
@@ -225,6 +227,8 @@ def encode_documents(df: DataFrame, ranks_path: str, offsets: bool = False) -> D
                 names += ["starts", "ends"]
                 columns += [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names)
+        enc.pieces.clear()
+        common.give_back()
 
     extra = ", starts array<bigint>, ends array<bigint>" if offsets else ""
     return source.mapInArrow(run, f"doc_id {kind}, ids array<int>{extra}")
@@ -262,5 +266,7 @@ def round_trip_digests(df: DataFrame, ranks_path: str) -> DataFrame:
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        enc.pieces.clear()
+        common.give_back()
 
     return source.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

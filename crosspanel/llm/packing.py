@@ -14,6 +14,7 @@ own pieces; an empty table gives no rows; other columns are not read. Ties (equa
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -51,7 +52,7 @@ def one_run(piece: str) -> bool:
 class WordPieces(PieceCache):
     """Pieces between ASCII white space, which no token of the word BPE crosses; a closing sign after letters is a piece too."""
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         vocab = self.tokenizer.get_vocab()
@@ -129,6 +130,7 @@ class WordPieces(PieceCache):
 
 @cache
 def word_encoder(path: str) -> WordPieces:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
     return WordPieces(path)
 
 
@@ -142,7 +144,7 @@ def cut_documents(df: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen, task = word_encoder(tokenizer_path), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
-        for batch in common.slices(batches, limit=6 << 20):
+        for batch in common.slices(batches, limit=4 << 20):
             rows, whose, held = [], [], []
             for doc, ids in enumerate(enc.encode(common.column(batch, "text"))):
                 data = np.append(ids, end_id).astype("<u4")
@@ -158,6 +160,8 @@ def cut_documents(df: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
             if with_ids:
                 arrays, names = [*arrays, pa.array(held, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
+        enc.clear()
+        common.give_back()
 
     return source.mapInArrow(run, f"doc_id {kind}, {PIECE}" + ", ids array<int>" * with_ids)
 
