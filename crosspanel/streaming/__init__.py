@@ -1,0 +1 @@
+"""No streaming operators: every input of these studies is a finite panel."""
