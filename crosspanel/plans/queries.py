@@ -109,7 +109,8 @@ def residual_signal(spark, sf_dir):
 def momentum_signals(spark, sf_dir):
     panel = weekly(spark, sf_dir)
     residual = risk_model.decompose(panel)
-    out = signals.momentum(residual, "residual", 4, "momentum").join(signals.reversal(residual, "residual", 4, "reversal"), ["date", "asset"])
+    reversal = signals.reversal(residual, "residual", 4, "reversal").withColumn("reversal", F.round("reversal", 10))
+    out = residual_signal(spark, sf_dir).withColumnRenamed("signal", "momentum").join(reversal, ["date", "asset"])
     return out.join(signals.momentum(panel, "ret", 4, "raw"), ["date", "asset"])
 
 
@@ -338,13 +339,13 @@ def monthly_signals_6_1(spark, sf_dir):
   WINDOW t AS (PARTITION BY ticker ORDER BY date), w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING), h AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 e AS (SELECT *, COALESCE(is_universe = 1 AND lag_price >= 5 AND lag_adv >= 0 AND lag_history >= 26, FALSE) AS ok FROM b),
 rk AS (SELECT *, CASE WHEN ok THEN ROW_NUMBER() OVER (PARTITION BY date, ok ORDER BY lag_adv DESC, asset_id) END AS rank FROM e),
-o AS (SELECT date, asset_id, lag_price, ROUND(lag_adv, 7) AS lag_adv, lag_history, ok AND rank <= 15 AS eligible, CAST(rank AS INT) AS liquidity_rank FROM rk)""",
+o AS (SELECT date, asset_id, ROUND(lag_price + 1e-9, 7) AS lag_price, ROUND(lag_adv, 7) AS lag_adv, lag_history, ok AND rank <= 15 AS eligible, CAST(rank AS INT) AS liquidity_rank FROM rk)""",
     "o", "date", "asset_id", "lag_price!", "lag_adv!", "lag_history", "eligible", "liquidity_rank"))
 def mechanical_universe(spark, sf_dir):
     rows = pit.normalized_bars(prices(spark, sf_dir), prefix="")
     bars = rows.select("date", "asset_id", F.col("close").alias("close_unadjusted"), F.col("volume").alias("volume_unadjusted"), "total_return")
     history = rows.select("date", "asset_id", (F.col("is_universe") == 1).alias("is_common_stock"), F.lit(True).alias("is_major_exchange"))
-    return pit.mechanical_universe(bars, history, window=13, least_days=8, least_history=26, top_n=15).withColumns({"eligible": F.coalesce("eligible", F.lit(False)), "lag_adv": F.round("lag_adv", 7)})
+    return pit.mechanical_universe(bars, history, window=13, least_days=8, least_history=26, top_n=15).withColumns({"eligible": F.coalesce("eligible", F.lit(False)), "lag_price": F.round(F.col("lag_price") + 1e-9, 7), "lag_adv": F.round("lag_adv", 7)})  # quotients may end in an exact half
 
 
 @query(final(f"""{PX}, n AS (SELECT date, COUNT(*) AS n FROM px WHERE is_universe = 1 GROUP BY 1), o AS (SELECT CAST(year(date) AS INT) AS year, MIN(n) AS least, MEDIAN(n) AS median, MAX(n) AS most FROM n GROUP BY 1)""", "o", "year", "least", "median!", "most"))
