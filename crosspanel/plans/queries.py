@@ -105,7 +105,7 @@ def residual_signal(spark, sf_dir):
     return signal.withColumn("signal", F.round("signal", 10) + F.lit(0.0))
 
 
-@query(final(f"{SIG}, o AS (SELECT date, asset, signal AS momentum, -signal AS reversal, raw FROM sig)", "o", "date", "asset", "momentum!", "reversal!", "raw!"))
+@query(final(f"{SIG}, o AS (SELECT date, asset, signal AS momentum, -signal AS reversal, raw FROM sig)", "o", "date", "asset", "momentum!", "reversal!", "raw!", digits=10), digits=10)
 def momentum_signals(spark, sf_dir):
     panel = weekly(spark, sf_dir)
     residual = risk_model.decompose(panel)
