@@ -409,16 +409,31 @@ def raw_events(spark, sf_dir):
 
 
 @query(final(EVENTS, "ev", "signal", "symbol", "signal_timestamp", "entry_open!", *(f"{n}_{h}h!" for h in (1, 4, 24) for n in ("asset_fwd", "short_net")), digits=6), digits=6)
-def pump_events(spark, sf_dir):
+def raw_pump_events(spark, sf_dir):
     return raw_events(spark, sf_dir)
 
 
 @query(final(EVENTS + """, ul AS (SELECT signal, 1 AS horizon, short_net_1h AS s FROM ev UNION ALL SELECT signal, 4, short_net_4h FROM ev UNION ALL SELECT signal, 24, short_net_24h FROM ev),
 o AS (SELECT signal, CAST(horizon AS INT) AS horizon, COUNT(s) AS n, AVG(s) AS mean, MEDIAN(s) AS median, AVG(CASE WHEN s > 0 THEN 1.0 WHEN s <= 0 THEN 0.0 END) AS hit_rate FROM ul GROUP BY 1, 2)""", "o", "signal", "horizon", "n", "mean!", "median!", "hit_rate!", digits=6), digits=6)
-def pump_summary(spark, sf_dir):
+def raw_pump_summary(spark, sf_dir):
     return events.event_summary(raw_events(spark, sf_dir), RAW_ONLY)
 
 
+def all_events(spark, sf_dir):
+    return events.events(events.features(hourly(spark, sf_dir), HOURLY), HOURLY)
+
+
+@query(digits=6)
+def pump_events(spark, sf_dir):
+    """Both signals at all five horizons; SQL has the raw one only, as ``raw_pump_events``."""
+    return all_events(spark, sf_dir)
+
+
+@query(digits=6)
+def pump_summary(spark, sf_dir):
+    return events.event_summary(all_events(spark, sf_dir), HOURLY)
+
+
 # Portfolio accounts ---------------------------------------------------------------------------------------------------------------
 
 S5 = attribution.SLEEVES
