@@ -37,7 +37,8 @@ from .byte_bpe import PieceCache
 #: Stands between words in a string given to the library; words that hold it are encoded by themselves.
 MARK = "\x01"
 JOINED = 256
-
+#: How the library's special tokens begin.
+SPECIAL = "<|"
 
 #: Letters below this keep their number and kind when normalized and lower-cased.
 PLAIN_BELOW = "\u0130"
@@ -117,10 +118,15 @@ class WordPieces(PieceCache):
         spaced = common.plain_strings(texts)
         for sign in "\n\t\r":
             spaced = pc.replace_substring(spaced, sign, " ")
-        lists = pc.split_pattern(pc.ascii_lower(spaced), " ")
+        lists = pc.split_pattern(spaced, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
-        coded = lists.flatten().dictionary_encode()
+        # Lower-cased there are fewer words; the library looks for its special tokens in the text as it stands, so words that may hold one stay too.
+        plain = lists.flatten()
+        lower = pc.ascii_lower(plain)
+        if pc.any(special := pc.match_substring(plain, SPECIAL)).as_py():
+            lower = pc.if_else(special, plain, lower)
+        coded = lower.dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         pairs = self.pairs_of(words)
         ids, counts = self.gather(pairs[coded.indices.to_numpy(zero_copy_only=False)].ravel())

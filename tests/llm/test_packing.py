@@ -21,6 +21,14 @@ def test_ids_equal_those_of_whole_texts():
             assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_special_tokens_are_found_in_their_own_case_only():
+    encoder, rng = packing.WordPieces(PATH), random.Random(3)
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "<|", "|>", " ", " ", "x", "Y", "É", ".", "Word", "\n", "\x01"]
+    texts = ["x <|ENDOFTEXT|> y", "A<|EndOfText|>B.", *("".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(2000))]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts))):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_histogram_is_packed_whole_and_tightly(seed):
     rng = random.Random(seed)
