@@ -27,8 +27,9 @@ from . import common
 
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS, DOUBT, LEAST_INSTANCES, LEAST_CONFIDENCE = 3, 2.0, 3, 0.5
-#: Characters before a token in which its two context words are looked for, and the least length of a candidate.
-CONTEXT, LEAST_LENGTH = 64, 5
+#: Characters before a token that are read at first for its two context words (twice as many each time until they are found), letters
+#: from which a word goes by its digest, and the least length of a candidate.
+CONTEXT, LONG_WORD, LEAST_LENGTH = 64, 64, 5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -73,11 +74,64 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def pattern_before(text: str, start: int) -> str | None:
-    """The two words before a place, lower-case and without digits or signs; none where there are fewer."""
-    window = text[max(0, start - CONTEXT) : start]
-    words = [w for w in ("".join(c for c in part if c.isalpha()) for part in window.lower().split()) if w]
-    return " ".join(words[-2:]) if len(words) >= 2 else None
+class Word:
+    """Letters as they come. A long word goes by a digest of all of them, so that many spans in one long token cost no more than it."""
+
+    def __init__(self, letters: str = ""):
+        self.letters, self.digest = "", None
+        self.add(letters)
+
+    def add(self, letters: str) -> None:
+        if self.digest is not None:
+            self.digest.update(letters.encode())
+        else:
+            self.letters += letters
+            if len(self.letters) > LONG_WORD:
+                self.digest = xxhash.xxh3_128(self.letters.encode())
+
+    def name(self) -> str:
+        return self.letters if self.digest is None else self.digest.hexdigest()
+
+
+def letters_of(part: str) -> str:
+    return part if part.isalpha() else "".join(c for c in part if c.isalpha())
+
+
+def patterns_before(text: str, starts: list[int]) -> list[str | None]:
+    """The two words before each of ascending places, lower-case and without digits or signs; none where the text has fewer.
+
+    From each place back to where two words are found, or to the place before, whose words are then taken: each stretch is read
+    a fixed number of times.
+    """
+    out: list[str | None] = []
+    closed: list[Word] = []  # of the tokens that ended before the last place
+    open_, last = Word(), 0  # the letters of the token in which it lies
+    for start in starts:
+        size = CONTEXT
+        while True:
+            low = max(last, start - size)
+            gap = text[low:start]
+            # The lower-case form of a letter must not hang on where the text is cut.
+            parts = gap.lower().replace("\u03c2", "\u03c3").split()
+            inner = low > last
+            if inner and parts and not text[low - 1].isspace() and not gap[0].isspace():
+                del parts[0]  # cut at its front
+            if not inner or sum(any(c.isalpha() for c in p) for p in parts) >= 2:
+                break
+            size *= 2
+        if inner:
+            closed, open_ = [], Word()
+        elif gap and not gap[0].isspace():
+            open_.add(letters_of(parts.pop(0)))
+        if inner or any(c.isspace() for c in gap):
+            end = letters_of(parts.pop()) if parts and not gap[-1].isspace() else ""
+            found = [w for w in map(letters_of, parts) if w][-2:]
+            closed = [*closed, *([open_] if open_.letters else []), *map(Word, found)][-2:]
+            open_ = Word(end)
+        words = ([*closed, open_] if open_.letters else closed)[-2:]
+        out.append(" ".join(w.name() for w in words) if len(words) == 2 else None)
+        last = start
+    return out
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -121,8 +175,8 @@ def find(df: DataFrame) -> DataFrame:
     def seen(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
         rows = []
         for seed, spans in ((True, [(a, b) for a, _, b in base]), (False, candidates(text, base))):
-            for a, b in spans:
-                if pattern := pattern_before(text, a):
+            for (a, b), pattern in zip(spans, patterns_before(text, [a for a, _ in spans])):
+                if pattern:
                     rows.append((pattern, xxhash.xxh64_intdigest(text[a:b].lower().encode("utf-8", "surrogatepass")) - (1 << 63), seed, a, b))
         return rows
 

@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import xxhash
 
 from crosspanel.llm import pii
 
@@ -42,6 +45,28 @@ def test_candidates_do_not_overlap_base_spans():
             assert b - a >= pii.LEAST_LENGTH and not any(x < b and a < y for x, _, y in base), text
 
 
+def plain_pattern(text, start):
+    words = [w for w in ("".join(c for c in part if c.isalpha()) for part in text[:start].lower().replace("ς", "σ").split()) if w][-2:]
+    return " ".join(w if len(w) <= pii.LONG_WORD else xxhash.xxh3_128_hexdigest(w.encode()) for w in words) if len(words) == 2 else None
+
+
+def test_context_words_are_found_however_far_back():
+    rng = random.Random(4)
+    bits = ["One", "two", " ", " ", "\n", " " * 70, "1 22 333 " * 12, "x" * 63, "y" * 70, "https://a.b/" + "c/" * 50, "-", "İ", "ΟΔΟΣ", "é", "7@q.rs"]
+    for _ in range(5000):
+        text = "".join(rng.choices(bits, k=rng.randrange(1, 16)))
+        starts = sorted(rng.choices(range(len(text) + 1), k=rng.randrange(1, 8)))
+        assert pii.patterns_before(text, starts) == [plain_pattern(text, s) for s in starts], (text, starts)
+    base = "my account " + "1 " * 60
+    assert pii.patterns_before(base, [len(base)]) == ["my account"]
+    for text in ("12345 " * 100_000, "a" * 300_000 + "@1" * 100_000, "a@b.c," * 60_000, " " * 300_000 + "12345 " * 50_000):  # linear
+        places = [a for a, *_ in pii.base_spans(text)], [a for a, _ in pii.candidates(text, [])], list(range(0, len(text), 6))
+        began = time.perf_counter()
+        for starts in places:
+            pii.patterns_before(text, starts)
+        assert time.perf_counter() - began < 30
+
+
 def graph_by_hand(edges):
     """The rounds of scores by plain loops."""
     patterns = {}
