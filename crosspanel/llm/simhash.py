@@ -55,18 +55,27 @@ def fingerprint(text: str, words_per_shingle: int = 3) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """(doc_id, fp bigint) for each row; the 64 bits are those of the signed number."""
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def fingerprints(df: DataFrame, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp bigint[, key]) for each row; the 64 bits are those of the signed number, the key stands for the text."""
     source = common.texts_of(df)
+    if keyed:
+        source = source.withColumn("key", text_key(F.col("text")))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = common.column(batch, "text")
             found = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([common.column(batch, "doc_id"), pa.array(found)], ["doc_id", "fp"])
+            arrays, names = [common.column(batch, "doc_id"), pa.array(found)], ["doc_id", "fp"]
+            if keyed:
+                arrays, names = [*arrays, common.column(batch, "key")], [*names, "key"]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return source.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return source.mapInArrow(run, f"doc_id {kind}, fp bigint" + ", key binary" * keyed)
 
 
 def band_keys(fp: Column) -> Column:
@@ -237,27 +246,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(df: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id, fp) for each row."""
+def near_duplicates(df: DataFrame, radius: int = RADIUS, keyed: bool = False) -> DataFrame:
+    """(doc_id, fingerprint, component_id, fp[, root, key]) for each row."""
     if not 0 <= radius <= RADIUS:
         raise ValueError("the bands hold for at most 3 differing bits")
     common.without_shuffle_files(df.sparkSession)
-    marked = common.written(fingerprints(df), "fingerprints")
+    marked = common.written(fingerprints(df, keyed), "fingerprints")
     distinct = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = components(common.written(links(buckets(distinct.select("fp")), radius), "links"))
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    more = ["root", "key"] if keyed else []
+    named = classes.join(smallest, "root").select("fp", "component_id", *more[:1])
+    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp", *more)
 
 
 def keep_one(df: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: of each component the row with the smallest doc_id stays.
+    """The rows of ``df`` without near-duplicates: of each component one row stays, the first by doc_id (null ones last), fingerprint, text.
 
-    Rows whose doc_id is null stay; of rows with the same doc_id the one with the smallest text does.
+    A doc_id that is repeated in several components stays in each of them.
     """
-    found = near_duplicates(df, radius).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = df.join(found, df["doc_id"] == found["_kept_id"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in ["text", *(c for c in df.columns if c not in ("doc_id", "text"))]))
-    one = kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
-    return one.unionByName(df.where(F.col("doc_id").isNull()))
+    found = common.written(near_duplicates(df, radius, keyed=True).select("doc_id", "fingerprint", "root", "key").distinct(), "keys")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fingerprint")).alias("m"))
+    first = first.select(F.col("m.doc_id").alias("_id"), F.col("m.fingerprint").alias("_fingerprint"))
+    # A fingerprint lies in one component, so these are the texts among which the first is to be found.
+    best = found.join(first, found["doc_id"].eqNullSafe(first["_id"]) & (found["fingerprint"] == first["_fingerprint"]), "left_semi")
+    best = best.select(F.col("doc_id").alias("_id"), F.col("key").alias("_best"), F.col("root").alias("_root"))
+    rows = df.withColumn("_key", text_key(F.col("text")))
+    kept = rows.join(best, rows["doc_id"].eqNullSafe(best["_id"]) & (rows["_key"] == best["_best"]))
+    order = Window.partitionBy("_root").orderBy(*(F.col(c) for c in ["text", *(c for c in df.columns if c not in ("doc_id", "text"))]))
+    return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*df.columns)

@@ -108,6 +108,15 @@ def test_components_against_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(ids.values()))
 
 
+def test_one_row_of_each_component_stays(spark):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
+    rows = [(1, long), (2, "quite another text of its own here"), (2, long), (2, "and a third one that nobody repeats"), (None, long.upper()), (None, "nobody has this one"), (None, "nobody has this one")]
+    rows += [(3, "The  same words again"), (3, "the same words again"), (3, "the same words again"), (4, None), (5, ""), (None, "")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    wanted = [(1, long), (2, "quite another text of its own here"), (2, "and a third one that nobody repeats"), (None, "nobody has this one"), (3, "The  same words again"), (4, None)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)
+
+
 def test_long_chain_and_empty(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
