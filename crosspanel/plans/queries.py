@@ -533,7 +533,8 @@ def strategy_rolling_beta(spark, sf_dir):
     return betas.rolling_beta(rows, 26, 13).select("date", "beta")
 
 
-RULES = [("original", "none", None, 1.0), ("beta>0.20 x0.50", "beta", 0.2, 0.5), ("beta>0.30 x0.00", "beta", 0.3, 0.0), ("joint-down x0.50", "joint", None, 0.5)]
+#: The published grid, and two rules low enough for these tables' betas to trigger.
+RULES = [*overlay.SCENARIOS, ("beta>0.20 x0.50", "beta", 0.2, 0.5), ("beta>0.30 x0.00", "beta", 0.3, 0.0)]
 OV = f"""{TB}, tl AS (SELECT *, LAG(beta) OVER (ORDER BY date) AS pb, COALESCE(LAG(r_VTI < 0 AND r_TLT < 0 AND r_GLD < 0) OVER (ORDER BY date), FALSE) AS jd FROM tb),
 sc AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{r}', CAST({'NULL' if t is None else t} AS DOUBLE), CAST({s} AS DOUBLE))" for n, r, t, s in RULES)}) v(strategy, rule, threshold, scale)),
 x0 AS (SELECT tl.*, sc.*, CASE WHEN ABS(w_SVXY) > 1e-12 THEN CASE rule WHEN 'beta' THEN COALESCE(pb > threshold, FALSE) WHEN 'joint' THEN jd ELSE FALSE END ELSE FALSE END AS trigger FROM tl CROSS JOIN sc),

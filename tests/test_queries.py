@@ -101,3 +101,11 @@ def test_pump_events_have_both_signals_and_all_horizons(spark, tmp_path):
         net = [e[5 + 2 * (1, 4, 12, 24, 72).index(h)] for e in wanted if e[0] == signal]
         net = [v for v in net if v is not None]
         assert r.n == len(net) and r["mean"] == pytest.approx(np.mean(net), abs=2e-6) and r["median"] == pytest.approx(np.median(net), abs=2e-6) and r.hit_rate == pytest.approx(np.mean([v > 0 for v in net]), abs=2e-6)
+
+
+@pytest.mark.parametrize("name", ["overlay_streams", "overlay_comparison"])
+def test_overlays_run_the_published_grid(spark, name):
+    from crosspanel.operators import overlay
+
+    found = {r.strategy for r in queries.QUERIES[name](spark, str(DATA)).select("strategy").distinct().collect()}
+    assert len(overlay.SCENARIOS) == 11 and {s[0] for s in overlay.SCENARIOS} <= found
