@@ -256,7 +256,7 @@ def vol_scalars(spark, sf_dir):
 @query()
 def gate_interval(spark, sf_dir):
     panel = weekly(spark, sf_dir)
-    config = gate.GateConfig(beta_window=52, least_beta=26, samples=200)
+    config = gate.GateConfig(beta_window=52, least_beta=26)
     paired = gate.sleeves(panel, panel.groupBy("date").agg(F.avg("ret").alias("market")), config)
     return gate.bootstrap_interval(paired, config.samples, config.block, config.seed)
 

@@ -109,3 +109,12 @@ def test_overlays_run_the_published_grid(spark, name):
 
     found = {r.strategy for r in queries.QUERIES[name](spark, str(DATA)).select("strategy").distinct().collect()}
     assert len(overlay.SCENARIOS) == 11 and {s[0] for s in overlay.SCENARIOS} <= found
+
+
+def test_gate_interval_draws_as_many_samples_as_the_gate(spark, monkeypatch):
+    from crosspanel.plans import gate
+
+    drawn = []
+    monkeypatch.setattr(gate, "bootstrap_interval", lambda paired, samples, *_: drawn.append(samples) or paired)
+    queries.QUERIES["gate_interval"](spark, str(DATA))
+    assert drawn == [2000]
