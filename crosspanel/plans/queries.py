@@ -369,7 +369,7 @@ def cross_section_wls(spark, sf_dir):
 def residual_momentum_36m(spark, sf_dir):
     monthly = dense(signals.monthly_compound(weekly(spark, sf_dir)), "ret")
     factors = monthly.groupBy("date").agg(F.avg("ret").alias("f1"), (F.max("ret") - F.min("ret")).alias("f2"), F.median("ret").alias("f3"))
-    return regress.residual_momentum(monthly.join(factors, "date"), ["f1", "f2", "f3"], window=24, least=18, formation=5)
+    return regress.residual_momentum(monthly.join(factors, "date"), ["f1", "f2", "f3"], window=36, least=24, formation=11)
 
 
 # Hourly panel ---------------------------------------------------------------------------------------------------------------------

@@ -118,3 +118,15 @@ def test_gate_interval_draws_as_many_samples_as_the_gate(spark, monkeypatch):
     monkeypatch.setattr(gate, "bootstrap_interval", lambda paired, samples, *_: drawn.append(samples) or paired)
     queries.QUERIES["gate_interval"](spark, str(DATA))
     assert drawn == [2000]
+
+
+def test_residual_momentum_is_that_of_36_months(spark, monkeypatch):
+    import inspect
+
+    from crosspanel.operators import regress
+
+    called, plain = [], inspect.signature(regress.residual_momentum)
+    monkeypatch.setattr(regress, "residual_momentum", lambda *a, **b: called.append(plain.bind(*a, **b)) or a[0])
+    queries.QUERIES["residual_momentum_36m"](spark, str(DATA))
+    called[0].apply_defaults()
+    assert {k: called[0].arguments[k] for k in ("window", "least", "formation", "skip")} == {"window": 36, "least": 24, "formation": 11, "skip": 1}
