@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
+import re
 import sys
 import tempfile
 import uuid
@@ -12,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -19,12 +23,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session leaves that setting empty (tests, one machine) a temporary folder of its own is set.
+    Only where the session leaves that setting empty and the master is local (tests, one machine) a temporary folder of its own is set.
     """
     if found := spark.conf.get(CHECKPOINT_KEY, None):
         return found.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="crosspanel-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -35,12 +41,58 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends here."""
+    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends here.
+
+    The table is deleted by ``drop_written``, or when the driver's Python ends; until then lazy results may read it.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _paths:
+        atexit.register(drop_written)
+    _paths.append((spark, path))
+    back = spark.read.schema(df.schema).parquet(path)
+    back._crosspanel_path = path
+    return back
+
+
+_paths: list[tuple[SparkSession, str]] = []
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete the files of these written tables, or of all: no result that is still to be computed may need them."""
+    wanted = {t._crosspanel_path for t in tables}
+    for spark, path in [x for x in _paths if not tables or x[1] in wanted]:
+        _paths.remove((spark, path))
+        with contextlib.suppress(Exception):  # the session may have ended
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def hot_keys(df: DataFrame, key: str, rows: int = 200_000, share: int = 256, least: int = 20_000) -> list:
+    """Keys that hold more than one in ``share`` rows of a written table, or of about ``rows`` of its rows: fewer than ``share`` keys, whatever the data.
+
+    They only choose how ``keyed_join`` joins: what is joined does not hang on them.
+    """
+    n = df.count()
+    if n < least:
+        return []
+    sample = df.select(key) if n <= rows else df.select(key).sample(rows / n, seed=1)
+    counts = sample.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNotNull() & (F.col("n") > min(n, rows) * 1.1 / share))
+    return [r[0] for r in counts.limit(share).collect()]
+
+
+def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left``, a written table, joined (inner or left) to ``right``, which has one row a key. Hot keys meet their right rows by broadcast, fewer than
+    256 of them, and all others by a shuffle, so no key's rows go to one task.
+    """
+    hot = hot_keys(left, key)
+    if not hot:
+        return left.join(right, key, how)
+    named = left.sparkSession.createDataFrame([(k,) for k in hot], T.StructType([left.schema[key]]))
+    hot_right = F.broadcast(right.join(F.broadcast(named), key, "left_semi"))
+    return left.join(F.broadcast(named), key, "left_semi").join(hot_right, key, how).unionByName(left.join(F.broadcast(named), key, "left_anti").join(right, key, how))
 
 
 def without_shuffle_files(spark: SparkSession) -> None:
