@@ -2,7 +2,7 @@
 
 Each document's ids (word BPE of the whole text, then an end id) are cut into full pieces and a rest. The
 histogram of piece lengths, whose size the sequence length bounds, is packed on the driver: lengths go from
-the longest to the shortest, each into the pack that is shortest so far and still has room, with counts of
+the longest to the shortest, each piece into the pack that is shortest so far and still has room, with counts of
 equal packs (patterns) moved together. A piece's rank among the pieces of its length then says which
 copy of which pattern it belongs to. Ranks come from counts for each write task and length, so no length,
 however common, is ranked in one task.
@@ -19,7 +19,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -173,38 +173,38 @@ def cut_documents(df: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
 
 
 def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
-    """(count, lengths) patterns for a histogram {length: count}, the shortest pack with room first."""
+    """(count, lengths) patterns for a histogram {length: count}: each piece, longest first, goes to the shortest pack that has room.
+
+    Packs of one room are alike, so a group of them takes one piece each before the next shorter room is due, and goes to its new room at
+    once. A length splits one group and opens two at most: there are at most three patterns for each length.
+    """
     open_packs: dict[int, list[tuple[int, tuple]]] = defaultdict(list)  # by room left; a pack is (length, rest of it)
     rooms: list[int] = []  # heap of rooms, largest first
+
+    def put(room: int, count: int, pack: tuple) -> None:
+        if not open_packs[room]:
+            heapq.heappush(rooms, -room)
+        open_packs[room].append((count, pack))
+
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        moved: list[tuple[int, int, tuple]] = []
         while left and rooms and -rooms[0] >= length:
             room = -rooms[0]
             count, pack = open_packs[room].pop()
             if not open_packs[room]:
-                del open_packs[room]
                 heapq.heappop(rooms)
             used = min(count, left)
             left -= used
             if count > used:
-                moved.append((room, count - used, pack))
-            moved.append((room - length, used, (length, pack)))
-            if len(moved) > 64 or not rooms or -rooms[0] < length:  # what has been filled may be filled again
-                _put(open_packs, rooms, moved)
-                moved = []
-        _put(open_packs, rooms, moved)
-        each = size // length
-        while left:  # new packs: as many of this length in each as others would not undercut
-            packs = -(-left // each)
-            full = left // each
-            for count, k in ((full, each), (packs - full, left - full * each)):
-                if count:
-                    pack: tuple = ()
-                    for _ in range(k):
-                        pack = (length, pack)
-                    _put(open_packs, rooms, [(size - k * length, count, pack)])
-            left = 0
+                put(room, count - used, pack)
+            put(room - length, used, (length, pack))
+        each = size // length  # a new pack stays the shortest until it has no room for another of this length
+        for count, k in ((left // each, each), (1, left % each)):
+            if count and k:
+                pack: tuple = ()
+                for _ in range(k):
+                    pack = (length, pack)
+                put(size - k * length, count, pack)
     out = []
     for packs in open_packs.values():
         for count, pack in packs:
@@ -216,45 +216,53 @@ def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[int, list
     return sorted(out, key=lambda p: (p[1], p[0]))
 
 
-def _put(open_packs: dict, rooms: list[int], packs: list[tuple[int, int, tuple]]) -> None:
-    for room, count, pack in packs:
-        if room not in open_packs:
-            heapq.heappush(rooms, -room)
-        for i, (n, same) in enumerate(open_packs[room]):
-            if same == pack:
-                open_packs[room][i] = (n + count, pack)
-                break
-        else:
-            open_packs[room].append((count, pack))
+#: Ranks of a length fall into at most so many buckets, so that a piece meets the slots of its bucket only.
+BUCKETS = 64
+
+
+def width_of(count: int) -> int:
+    return -(-count // BUCKETS)
 
 
-def slots_of(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset) for each place in each pattern."""
+def slots_of(patterns: list[tuple[int, list[int]]], histogram: dict[int, int]) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(length, bucket, first rank, end rank, first sequence, offset, repeat) for each length in each pattern, once for each bucket its ranks reach.
+
+    A pattern's lengths add up to the sequence length s at most, so fewer than sqrt(2 s) of them differ; with 3 s patterns at most there
+    are fewer than 3 s sqrt(2 s) + 64 s rows (0.52 million for 2048), whatever the data.
+    """
     out, next_rank, sequence = [], defaultdict(int), 0
     for count, lengths in patterns:
         at = 0
-        for length in lengths:
-            out.append((length, next_rank[length], next_rank[length] + count, sequence, at))
-            next_rank[length] += count
-            at += length
+        for length, same in groupby(lengths):
+            repeat = len(list(same))
+            first, end = next_rank[length], next_rank[length] + count * repeat
+            width = width_of(histogram[length])
+            out += [(length, bucket, first, end, sequence, at, repeat) for bucket in range(first // width, (end - 1) // width + 1)]
+            next_rank[length] = end
+            at += length * repeat
         sequence += count
     return out
 
 
-SLOT = T.StructType([T.StructField(n, T.LongType(), False) for n in ("length", "rank_from", "rank_to", "sequence_from", "offset")])
+SLOT = T.StructType([T.StructField(n, T.LongType(), False) for n in ("length", "bucket", "rank_from", "rank_to", "sequence_from", "offset_from", "repeat")])
 
 
 def assign(pieces: DataFrame, size: int) -> DataFrame:
-    """sequence_id and offset for written pieces. The broadcast patterns are bounded by the sequence length, not by the data."""
+    """sequence_id and offset for written pieces: the patterns' slots, whose number the sequence length bounds, joined by length and rank."""
     spark = pieces.sparkSession
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("task")
-    ranks = by_task.select("length", "task", (F.sum("n").over(before) - F.col("n")).alias("rank_base"))
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = spark.createDataFrame(slots_of(pack_histogram(histogram, size)), SLOT)
-    ranked = pieces.join(ranks, ["length", "task"]).withColumn("rank", F.col("rank_base") + F.col("local_rank"))
-    found = ranked.join(F.broadcast(slots), ["length"]).where((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
-    return found.withColumn("sequence_id", F.col("sequence_from") + F.col("rank") - F.col("rank_from")).drop("task", "local_rank", "rank_base", "rank", "rank_from", "rank_to", "sequence_from")
+    whole = Window.partitionBy("length")
+    width = F.ceil(F.sum("n").over(whole) / BUCKETS)
+    ranks = by_task.select("length", "task", (F.sum("n").over(whole.orderBy("task")) - F.col("n")).alias("rank_base"), width.alias("width"))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
+    rows = slots_of(pack_histogram(histogram, size), histogram)
+    assert len(rows) < 3 * size * (2 * size) ** 0.5 + BUCKETS * size
+    slots = F.broadcast(spark.createDataFrame(rows, SLOT))
+    ranked = pieces.join(ranks, ["length", "task"]).withColumn("rank", F.col("rank_base") + F.col("local_rank")).withColumn("bucket", F.floor(F.col("rank") / F.col("width")))
+    found = ranked.join(slots, ["length", "bucket"]).where((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
+    place = F.col("rank") - F.col("rank_from")
+    found = found.withColumns({"sequence_id": F.col("sequence_from") + F.floor(place / F.col("repeat")), "offset": F.col("offset_from") + place % F.col("repeat") * F.col("length")})
+    return found.drop("task", "local_rank", "rank_base", "rank", "width", *(f.name for f in SLOT if f.name != "length"))
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -71,3 +71,31 @@ def test_pieces_lie_gapless(spark):
             at += length
         assert at <= 64
     assert packing.pack_documents(df.where("false"), PATH).count() == 0
+
+
+def shortest_pack_first(histogram, size):
+    """One piece after another, longest first, into the pack with most room, or a new one."""
+    rooms = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            most = max(rooms, default=-1)
+            if most >= length:
+                rooms.remove(most)
+            rooms.append((most if most >= length else size) - length)
+    return sorted(rooms)
+
+
+def test_fills_are_those_of_strict_shortest_pack_first():
+    rng = random.Random(9)
+    for _ in range(300):
+        size = rng.choice([16, 64, 256])
+        histogram = {rng.randrange(1, size + 1): rng.randrange(1, 60) for _ in range(rng.randrange(1, 30))}
+        patterns = packing.pack_histogram(histogram, size)
+        assert sorted(room for count, lengths in patterns for room in [size - sum(lengths)] * count) == shortest_pack_first(histogram, size)
+        ranks = defaultdict(list)
+        for length, bucket, first, end, *_ in packing.slots_of(patterns, histogram):
+            ranks[length].append((first, end, bucket))
+            assert first // packing.width_of(histogram[length]) <= bucket <= (end - 1) // packing.width_of(histogram[length])
+        for length, n in histogram.items():  # each rank has one slot
+            spans = sorted({r[:2] for r in ranks[length]})
+            assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
