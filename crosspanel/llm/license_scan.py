@@ -3,9 +3,12 @@
 Words are runs of a-z, 0-9 and characters beyond ASCII after A-Z are lower-cased. Every 2-word gram of every
 text has a 64-bit hash and a second, independent one. Spark joins all of them to the positions of the same grams
 in the templates (a fixed table, so its broadcast is bounded by this file); a hit votes for the diagonal text position
-minus template position. Votes add up by document, template and diagonal; neighbouring diagonals (up to
-``DRIFT`` inserted or missing words) merge into a span; a span is verified by the second hashes and by the share of the
-template's grams that it covers. Short templates (the phrases) need all their grams on one diagonal.
+minus template position. Votes add up by document, template and diagonal. Neighbouring diagonals merge as far as a template may drift by
+inserted and missing words, the share of its grams that need not be there; where their votes together cannot cover the template, they go.
+What is left is verified: of the hits on the merged diagonals the longest sequence in which both text and template go forward,
+with steps of at most ``DRIFT`` diagonals, must cover the template. Each verified span begins and ends at hits of its own, and spans of one
+template do not overlap: those that cover more come first, then those that start earlier. Short templates (the phrases) need all
+their grams on one diagonal.
 
 Null texts count as empty. Null doc_ids and repeated rows each get a result: votes go by a key of id and text, and a
 place counts once for it. An empty table gives no rows; other columns are not read.
@@ -13,6 +16,7 @@ place counts once for it. An empty table gives no rows; other columns are not re
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import cache
 
@@ -42,7 +46,7 @@ PASSAGES = {
     "cc-by-sa-notice": "licensed under cc by sa 4 0",
     "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
-#: How far diagonals of one span may lie apart, and the share of a passage's grams that it must cover.
+#: How far apart diagonals of one step may lie, and the share of a passage's grams that a span must cover.
 DRIFT, COVERED = 2, 0.7
 
 _TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -108,23 +112,73 @@ def spans(grams: DataFrame) -> DataFrame:
     hits = rolled.join(F.broadcast(table), "hash").where("check = second")
     # A place counts once for a key, however often the row is repeated.
     votes = hits.groupBy("key", "label", "phrase", "grams", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("places"))
+    votes = common.written(votes, "votes")
     phrases = votes.where("phrase AND size(places) = grams").select(
         "key", "label", "phrase", F.col("diagonal").cast("bigint").alias("first_word"), (F.col("diagonal") + F.col("grams") + 1).cast("bigint").alias("end_word"), F.lit(1.0).alias("covered")
     )
-    order = Window.partitionBy("key", "label").orderBy("diagonal")
-    apart = votes.where("NOT phrase").withColumn("_new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int"), F.lit(1)))
-    merged = (
-        apart.withColumn("_group", F.sum("_new").over(order))
-        .groupBy("key", "label", "phrase", "grams", "_group")
-        .agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    )
-    covered = F.size("places") / F.col("grams")
-    passages = merged.where(covered >= COVERED).select(
-        "key", "label", "phrase",
-        F.greatest(F.lit(0), F.col("low") + F.array_min("places")).cast("bigint").alias("first_word"),
-        (F.col("high") + F.array_max("places") + GRAM).cast("bigint").alias("end_word"), covered.alias("covered"),
-    )
-    return phrases.unionByName(passages)
+    # As far as the longest template may drift: what a shorter one may is looked at when spans are verified.
+    reach, near = max(drift_of(t[2]) for t in templates()), Window.partitionBy("key", "label").orderBy("diagonal")
+    enough = F.sum(F.size("places")).over(near.rangeBetween(0, reach)) >= F.lit(COVERED) * F.col("grams")
+    apart = votes.where("NOT phrase").withColumn("_enough", enough).withColumn("_near", F.max("_enough").over(near.rangeBetween(-reach, 0)))
+    sets = apart.where("_near").groupBy("key", "label", "grams").agg(F.collect_list(F.struct("diagonal", "places")).alias("diagonals"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, label, grams, diagonals in zip(*(common.column(batch, n).to_pylist() for n in ("key", "label", "grams", "diagonals"))):
+                rows += [(key, label, False, *span) for span in verified({d["diagonal"]: d["places"] for d in diagonals}, grams)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, _SPAN)], ["key", "label", "phrase", "first_word", "end_word", "covered"])
+
+    return phrases.unionByName(sets.mapInArrow(run, "key binary, label string, phrase boolean, first_word bigint, end_word bigint, covered double"))
+
+
+_SPAN = (pa.binary(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
+
+
+def drift_of(grams: int) -> int:
+    """How many diagonals a span may take: one for each gram that it need not cover, at least ``DRIFT``."""
+    return max(DRIFT, int(grams * (1 - COVERED)))
+
+
+def longest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest sequence of (place, at) in which both go forward, by steps of at most ``DRIFT`` diagonals; of equal ones that which ends first."""
+    pairs = sorted(pairs)
+    best: list[tuple[int, int]] = []  # (length, index of the one before)
+    for place, at in pairs:
+        length, before = 1, -1
+        for k, (p, a) in enumerate(pairs[: len(best)]):
+            if p < place and a < at and abs(p - a - place + at) <= DRIFT and best[k][0] >= length:
+                length, before = best[k][0] + 1, k
+        best.append((length, before))
+    end = max(range(len(pairs)), key=lambda i: (best[i][0], -i), default=-1)
+    out = []
+    while end >= 0:
+        out.append(pairs[end])
+        end = best[end][1]
+    return out[::-1]
+
+
+def verified(diagonals: dict[int, list[int]], grams: int) -> list[tuple[int, int, float]]:
+    """(first_word, end_word, covered) of a template's spans, from the template positions hit on each diagonal."""
+    order, reach, found = sorted(diagonals), drift_of(grams), set()
+    low = held = 0
+    for high, diagonal in enumerate(order):
+        held += len(diagonals[diagonal])
+        while order[low] < diagonal - reach:
+            held -= len(diagonals[order[low]])
+            low += 1
+        if held >= COVERED * grams:  # at most (reach + 1) * grams hits
+            chain = longest([(d + at, at) for d in order[low : high + 1] for at in diagonals[d]])
+            if len(chain) >= COVERED * grams:
+                found.add((-len(chain), chain[0][0], chain[-1][0] + GRAM))
+    out: list[tuple[int, int, float]] = []
+    taken: list[tuple[int, int]] = []
+    for length, start, end in sorted(found):
+        at = bisect.bisect(taken, (start, end))
+        if (not at or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+            taken.insert(at, (start, end))
+            out.append((start, end, -length / grams))
+    return sorted(out)
 
 
 def scan(df: DataFrame) -> DataFrame:
@@ -135,6 +189,7 @@ def scan(df: DataFrame) -> DataFrame:
 
 
 def _scanned(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, n_words) of all rows and their spans. The votes are written: phrases and passages come from one join."""
     common.without_shuffle_files(df.sparkSession)
     found = common.written(spans(hashed(df, True)), "license")
     return hashed(df, False), found
