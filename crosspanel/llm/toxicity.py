@@ -3,8 +3,10 @@
 Learning: up to ``positives`` toxic and ``negatives`` other labelled rows (those with the smallest hashes of
 their ids; both bounds are parameters) are picked out. Spark counts in how many rows of each label a hashed
 n-gram occurs; the log ratio of smoothed counts scales the feature. A logistic regression with a ridge is fitted on
-the scaled features of the same rows, weighted back to the labels' shares in all labelled rows. Scoring reads every
-text whole: the intercept and the weights of the distinct n-grams it has.
+the scaled features of the same rows, weighted back to the labels' shares in all labelled rows. The size of the model is set by
+parameters of the fit: ``features``, how many n-grams the regression takes (those whose shares differ most for their counts; None: all),
+``least_rows``, in how many of the sample's rows one must be, and ``hash_bits``. They bound what the driver fits, not what is
+read: scoring reads every text whole, with the intercept and the weights of the distinct n-grams it has.
 
 Null texts count as empty and get the intercept's score. Rows with a null doc_id are scored (and are not held out);
 null labels and ids are not learned from; repeated rows get equal scores. With no label, or one kind only, each score is
@@ -23,11 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DIMENSIONS = 1 << 20
-#: Features that the regression may use: those whose label shares differ most for their count.
-SELECTED = 40_000
-#: A feature must be in this many labelled rows.
-LEAST_ROWS = 4
+#: Bits of an n-gram's hash, so a model has at most 2 ** 20 features.
+HASH_BITS = 20
 THRESHOLD = 0.3
 
 
@@ -44,7 +43,7 @@ def _letters() -> np.ndarray:
 LETTERS = _letters()
 
 
-def ngrams(text: str) -> list[np.ndarray]:
+def ngrams(text: str, hash_bits: int = HASH_BITS) -> list[np.ndarray]:
     """Hashes of all 4-, 7- and 10-grams of the text between two spaces, repeats included."""
     points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     one = np.where(points < 0x3000, LETTERS[np.minimum(points, 0x2FFF)], points)
@@ -63,7 +62,7 @@ def ngrams(text: str) -> list[np.ndarray]:
     out = []
     for k, h in enumerate((four, seven, ten)):
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * k)
-        out.append((h >> np.uint32(12)).astype(np.int32))
+        out.append((h >> np.uint32(32 - hash_bits)).astype(np.int32))
     return out
 
 
@@ -73,7 +72,7 @@ class Model:
     intercept: float
 
     def score(self, text: str) -> float:
-        found = [h[self.weights[h] != 0] for h in ngrams(text)]
+        found = [h[self.weights[h] != 0] for h in ngrams(text, len(self.weights).bit_length() - 1)]
         return float(_sigmoid(self.intercept + self.weights[np.unique(np.concatenate(found))].sum(dtype=np.float64)))
 
 
@@ -96,33 +95,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, positives: int, negative
     return common.written(common.texts_of(docs).join(F.broadcast(ids), "doc_id").select("toxic", "text"), "labelled"), shares
 
 
-def count_features(sample: DataFrame) -> np.ndarray:
-    """In how many rows of label 0 and 1 each feature occurs: at most DIMENSIONS rows reach the driver."""
+def count_features(sample: DataFrame, least_rows: int, hash_bits: int) -> np.ndarray:
+    """In how many rows of label 0 and 1 each feature occurs: at most 2 ** hash_bits rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, DIMENSIONS), np.int32)
+        counts = np.zeros((2, 1 << hash_bits), np.int32)
         for batch in batches:
             for toxic, text in zip(common.column(batch, "toxic").to_pylist(), common.column(batch, "text").to_pylist()):
-                counts[int(toxic), np.unique(np.concatenate(ngrams(text)))] += 1
+                counts[int(toxic), np.unique(np.concatenate(ngrams(text, hash_bits)))] += 1
         at = np.flatnonzero(counts.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], ["feature", "clean", "toxic"])
 
     summed = sample.mapInArrow(run, "feature int, clean int, toxic int").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rows = summed.where(F.col("clean") + F.col("toxic") >= LEAST_ROWS).toArrow()
-    out = np.zeros((2, DIMENSIONS), np.int64)
+    rows = summed.where(F.col("clean") + F.col("toxic") >= least_rows).toArrow()
+    out = np.zeros((2, 1 << hash_bits), np.int64)
     out[:, rows["feature"].to_numpy()] = [rows["clean"].to_numpy(), rows["toxic"].to_numpy()]
     return out
 
 
-def log_count_ratios(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Smoothed log ratio of the shares of toxic and other rows that have a feature; 0 for features not selected."""
+def log_count_ratios(counts: np.ndarray, rows: np.ndarray, features: int | None) -> np.ndarray:
+    """Smoothed log ratio of the shares of toxic and other rows that have a feature; 0 for features that are not taken."""
     shares = (counts + 0.5) / (rows[:, None] + 1)
     ratio = np.log(shares[1] / shares[0])
     pooled = (counts.sum(0) + 1) / (rows.sum() + 2)
     z = np.abs(shares[1] - shares[0]) / np.sqrt(pooled * (1 - np.minimum(pooled, 0.999)) * (1 / (rows[0] + 1) + 1 / (rows[1] + 1)))
-    z[counts.sum(0) < LEAST_ROWS] = 0
-    if (z > 0).sum() > SELECTED:
-        z[z < np.partition(z, -SELECTED)[-SELECTED]] = 0
+    z[counts.sum(0) == 0] = 0
+    if features is not None and (z > 0).sum() > features:
+        z[z < np.partition(z, -features)[-features]] = 0
     return np.where(z > 0, ratio, 0).astype(np.float32)
 
 
@@ -152,27 +151,27 @@ def fit_regression(rows: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray
     return Model(weights, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 2500, negatives: int = 4000) -> Model:
-    """Fits the classifier on a bounded sample of labelled rows; only their selected features reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, positives: int = 2500, negatives: int = 4000, features: int | None = 40_000, least_rows: int = 4, hash_bits: int = HASH_BITS) -> Model:
+    """Fits the classifier on a bounded sample of labelled rows; only the features that it takes reach the driver."""
     common.without_shuffle_files(docs.sparkSession)
     sample, shares = labelled_sample(docs, labels, positives, negatives)
     if not shares.get(0) or not shares.get(1):
-        return Model(np.zeros(DIMENSIONS, np.float32), 40.0 if shares.get(1) else -40.0)
+        return Model(np.zeros(1 << hash_bits, np.float32), 40.0 if shares.get(1) else -40.0)
     taken = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not taken.get(0) or not taken.get(1):
-        return Model(np.zeros(DIMENSIONS, np.float32), float(np.log(shares[1] / shares[0])))
+        return Model(np.zeros(1 << hash_bits, np.float32), float(np.log(shares[1] / shares[0])))
     counts = np.array([taken[0], taken[1]], float)
-    ratios = log_count_ratios(count_features(sample), counts)
+    ratios = log_count_ratios(count_features(sample, least_rows, hash_bits), counts, features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [np.unique(np.concatenate([h[ratios[h] != 0] for h in ngrams(t)])).astype(np.int32) for t in common.column(batch, "text").to_pylist()]
+            kept = [np.unique(np.concatenate([h[ratios[h] != 0] for h in ngrams(t, hash_bits)])).astype(np.int32) for t in common.column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([common.column(batch, "toxic").cast(pa.int32()), pa.array(kept, pa.list_(pa.int32()))], ["toxic", "features"])
 
     rows = sample.mapInArrow(run, "toxic int, features array<int>").toArrow().combine_chunks()
     toxic = rows["toxic"].to_numpy().astype(float)
-    features = rows["features"].combine_chunks()
-    flat, offsets = features.values.to_numpy(), features.offsets.to_numpy()
+    listed = rows["features"].combine_chunks()
+    flat, offsets = listed.values.to_numpy(), listed.offsets.to_numpy()
     order = sorted(range(len(toxic)), key=lambda i: (toxic[i], flat[offsets[i] : offsets[i + 1]].tobytes()))  # whatever order Spark returned
     weight = {k: shares[k] / taken[k] for k in (0, 1)}
     vectors = [flat[offsets[i] : offsets[i + 1]] for i in order]
