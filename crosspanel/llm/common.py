@@ -114,11 +114,12 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the text column of each slice has about ``limit`` bytes, or is one row."""
+    """Cut Arrow batches so that the text or binary column of each slice has about ``limit`` bytes, or is one row. A column of numbers tells the rows' sizes."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+        held_in = batch.column(batch.schema.get_field_index(column))
+        sizes = pc.fill_null(held_in if pa.types.is_integer(held_in.type) else pc.binary_length(held_in), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and held + n > limit:

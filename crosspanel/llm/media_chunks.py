@@ -6,9 +6,9 @@ that several places have, one owner; such shared chunks are stored once in a tab
 once with their payload. An ordered list of chunks for each payload rebuilds it: payloads without shared chunks from
 their own row alone, the others by a join on the digests. Each chunk's digest is verified when it is read back.
 
-The stored form of a payload, as ``media_bytes`` and ``media_sha256`` have it: for each chunk in order its digest (16
-bytes), its length (4 bytes, little-endian) and its bytes. Payloads are texts as UTF-8 with bytes 255 up to a positive
-multiple of 576.
+What is stored of a payload is its manifest, for each chunk in order its digest (16 bytes) and its length (4 bytes, little-endian), and
+the chunks' bytes. ``media_bytes`` and ``media_sha256`` are those of the manifest and then the chunks in its order, both as they were read
+back from the store. Payloads are texts as UTF-8 with bytes 255 up to a positive multiple of 576.
 
 Null texts count as empty. Null doc_ids and repeated rows each get a result: payloads go by their digest. Equal texts have
 equal values; an empty table gives no rows; other columns are not read.
@@ -75,8 +75,11 @@ def chunks_of(payload: bytes) -> list[bytes]:
     return [payload[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def stored_form(chunks: list[bytes]) -> bytes:
-    return b"".join(part for c in chunks for part in (digest_of(c), struct.pack("<I", len(c)), c))
+ENTRY = struct.Struct("<16sI")
+
+
+def manifest_of(chunks: list[bytes]) -> bytes:
+    return b"".join(ENTRY.pack(digest_of(c), len(c)) for c in chunks)
 
 
 def features(payload: bytes, n_chunks: int) -> str:
@@ -111,22 +114,24 @@ def lists(df: DataFrame) -> DataFrame:
 def shared_chunks(listed: DataFrame) -> DataFrame:
     """(payload, shared, owned): which chunks of a payload are stored by digest, and which of these it brings.
 
-    A digest that stands at two places of different payloads or twice in one is shared; its owner is the smallest place.
+    A digest that stands at two places of different payloads or twice in one is shared; its owner is the smallest place. Digests that
+    stand at very many places are joined apart.
     """
     distinct = listed.select("payload", "digests").groupBy("payload").agg(F.first("digests").alias("digests"))
-    places = distinct.select("payload", F.posexplode("digests").alias("at", "digest"))
+    places = common.written(distinct.select("payload", F.posexplode("digests").alias("at", "digest")), "places")
     owners = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("payload", "at")).alias("owner")).where("n > 1").select("digest", "owner")
-    joined = places.join(owners, "digest")
+    joined = common.keyed_join(places, owners, "digest")
     owned = F.when((F.col("owner.payload") == F.col("payload")) & (F.col("owner.at") == F.col("at")), F.col("at"))
-    return joined.groupBy("payload").agg(F.collect_list("at").alias("shared"), F.collect_list(owned).alias("owned"))
+    found = common.written(joined.groupBy("payload").agg(F.collect_list("at").alias("shared"), F.collect_list(owned).alias("owned")), "shared")
+    common.drop_written(places)
+    return found
 
 
-STORED = "kind string, id binary, list array<struct<digest:binary,length:int,shared:boolean>>, data binary"
-_LIST = pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("shared", pa.bool_())]))
+STORED = "kind string, id binary, manifest binary, shared array<int>, data binary"
 
 
 def store(df: DataFrame, shared: DataFrame) -> DataFrame:
-    """Writes the chunk store and reads it back: rows of kind ``payload`` (chunk list, own bytes) and ``chunk`` (shared bytes).
+    """Writes the chunk store and reads it back: rows of kind ``payload`` (manifest, which chunks are shared, own bytes) and ``chunk`` (shared bytes).
 
     Each distinct payload travels once, compressed; equal ones are dropped before the shuffle where they meet.
     """
@@ -144,10 +149,9 @@ def store(df: DataFrame, shared: DataFrame) -> DataFrame:
             rows = []
             for key, packed, at, owned in zip(*(common.column(batch, n).to_pylist() for n in ("payload", "packed", "shared", "owned"))):
                 chunks, at, owned = chunks_of(opener.decompress(packed)), set(at or ()), owned or ()
-                listed = [{"digest": digest_of(c), "length": len(c), "shared": i in at} for i, c in enumerate(chunks)]
-                rows.append(("payload", key, listed, b"".join(c for i, c in enumerate(chunks) if i not in at)))
-                rows += [("chunk", listed[i]["digest"], None, chunks[i]) for i in owned]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), _LIST, pa.binary()))], ["kind", "id", "list", "data"])
+                rows.append(("payload", key, manifest_of(chunks), sorted(at), b"".join(c for i, c in enumerate(chunks) if i not in at)))
+                rows += [("chunk", digest_of(chunks[i]), None, None, chunks[i]) for i in owned]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary()))], ["kind", "id", "manifest", "shared", "data"])
 
     packed = source.mapInArrow(pack, "payload binary, packed binary").groupBy("payload").agg(F.first("packed").alias("packed"))
     return common.written(packed.join(shared, "payload", "left").mapInArrow(split, STORED), "chunks", partition_by="kind")
@@ -159,41 +163,46 @@ READ = "payload binary, payload_bytes bigint, payload_sha256 string, tail_crc32
 def read_back(stored: DataFrame) -> DataFrame:
     """Digests and features of each payload, rebuilt from its list; raises where a chunk is missing or altered."""
     payloads, chunks = stored.where("kind = 'payload'"), stored.where("kind = 'chunk'").select(F.col("id").alias("digest"), F.col("data").alias("bytes"))
-    has_shared = F.exists("list", lambda c: c["shared"])
-    alone = payloads.where(~has_shared).select("id", "list", "data", F.lit(None).cast("array<struct<digest:binary,bytes:binary>>").alias("brought"))
-    needing = payloads.where(has_shared)
-    wanted = needing.select("id", F.explode(F.array_distinct(F.transform(F.filter("list", lambda c: c["shared"]), lambda c: c["digest"]))).alias("digest"))
-    brought = wanted.join(chunks, "digest").groupBy("id").agg(F.collect_list(F.struct("digest", "bytes")).alias("brought"))
-    whole = alone.unionByName(needing.select("id", "list", "data").join(brought, "id", "left"))
+    parts = [F.col(c) for c in ("id", "manifest", "shared", "data")]
+    alone = payloads.where(F.size("shared") == 0).select(*parts, F.lit(None).cast("array<struct<digest:binary,bytes:binary>>").alias("brought"), F.length("data").cast("bigint").alias("size"))
+    needing = payloads.where(F.size("shared") > 0)
+    digests = F.array_distinct(F.transform("shared", lambda at: F.substring(F.col("manifest"), at * ENTRY.size + 1, F.lit(16))))
+    wanted = common.written(needing.select("id", F.explode(digests).alias("digest")), "wanted")
+    brought = common.keyed_join(wanted, chunks, "digest").groupBy("id").agg(F.collect_list(F.struct("digest", "bytes")).alias("brought"), F.sum(F.length("bytes")).alias("brings"))
+    whole = alone.unionByName(needing.select(*parts).join(brought, "id", "left").select(*parts, "brought", (F.length("data") + F.coalesce("brings", F.lit(0))).alias("size")))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "data", 1 << 20):
+        for batch in common.slices(batches, "size", 1 << 20):
             rows = []
-            for key, listed, data, brought in zip(*(common.column(batch, n).to_pylist() for n in ("id", "list", "data", "brought"))):
-                at, by_digest, parts = 0, {b["digest"]: b["bytes"] for b in brought or ()}, []
-                for entry in listed:
-                    if entry["shared"]:
-                        part = by_digest.get(entry["digest"], b"")
+            for key, manifest, shared, data, brought in zip(*(common.column(batch, n).to_pylist() for n in ("id", "manifest", "shared", "data", "brought"))):
+                at, by_digest, parts, shared = 0, {b["digest"]: b["bytes"] for b in brought or ()}, [], set(shared)
+                for i, (digest, length) in enumerate(ENTRY.iter_unpack(manifest)):
+                    if i in shared:
+                        part = by_digest.get(digest, b"")
                     else:
-                        part = data[at : at + entry["length"]]
-                        at += entry["length"]
-                    if len(part) != entry["length"] or digest_of(part) != entry["digest"]:
-                        raise ValueError(f"chunk {entry['digest'].hex()} is missing or altered")
+                        part = data[at : at + length]
+                        at += length
+                    if len(part) != length or digest_of(part) != digest:
+                        raise ValueError(f"chunk {digest.hex()} is missing or altered")
                     parts.append(part)
-                payload, form = b"".join(parts), stored_form(parts)
+                payload = b"".join(parts)
                 if digest_of(payload) != key:
                     raise ValueError(f"payload {key.hex()} was not rebuilt")
-                rows.append((key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(form), hashlib.sha256(form).hexdigest(), features(payload, len(parts))))
+                form = hashlib.sha256(manifest)
+                form.update(payload)
+                rows.append((key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(manifest) + len(payload), form.hexdigest(), features(payload, len(parts))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], [f.split()[0] for f in READ.split(", ")])
 
     return whole.mapInArrow(rebuild, READ)
 
 
 def round_trip(df: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) for each row."""
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) for each row. The store's tables are dropped."""
     common.without_shuffle_files(df.sparkSession)
     listed = common.written(lists(df), "lists")
-    shared = common.written(shared_chunks(listed), "shared")
-    back = common.written(read_back(store(df, shared)), "media")
+    shared = shared_chunks(listed)
+    stored = store(df, shared)
+    back = common.written(read_back(stored), "media")
+    common.drop_written(shared, stored)  # all that the result reads is written
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return listed.select("doc_id", "payload", "n_bytes").join(back, "payload").select("doc_id", "n_bytes", *names)
+    return common.keyed_join(listed.select("doc_id", "payload", "n_bytes"), back, "payload").select("doc_id", "n_bytes", *names)

@@ -43,7 +43,7 @@ def test_round_trip(spark):
     assert sorted([(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got], key=str) == sorted([wanted(r[0], r[1]) for r in rows], key=str)
     by = {r.doc_id: r for r in got}
     assert by[5].media_sha256 == by[6].media_sha256 != by[7].media_sha256 and by[5].feature == by[6].feature
-    form = m.stored_form(m.chunks_of(m.payload_of(texts[8])))
+    form = m.manifest_of(m.chunks_of(m.payload_of(texts[8]))) + m.payload_of(texts[8])
     assert by[8].media_bytes == len(form) and by[8].media_sha256 == hashlib.sha256(form).hexdigest()
     assert m.round_trip(df.where("false")).count() == 0
 
@@ -53,6 +53,16 @@ def test_shared_bytes_are_stored_once_and_damage_is_seen(spark):
     df = spark.createDataFrame([(i, f"{i} " * 300 + passage + f" {i}" * 300) for i in range(8)], "doc_id bigint, text string")
     stored = m.store(df, m.shared_chunks(m.lists(df)))
     assert stored.selectExpr("sum(length(data))").first()[0] < 2 * 45_000
-    damaged = stored.selectExpr("kind", "id", "list", "CASE WHEN kind = 'chunk' THEN substring(data, 2) ELSE data END AS data")
+    # What the digests cover is what is stored: a payload's manifest, then its chunks' bytes.
+    kept = {(r.kind, bytes(r.id)): r for r in stored.collect()}
+    digests = {r.media_sha256 for r in m.read_back(stored).collect()}
+    for (kind, _), r in kept.items():
+        if kind == "payload":
+            at, parts = 0, []
+            for i, (digest, length) in enumerate(m.ENTRY.iter_unpack(r.manifest)):
+                parts.append(kept["chunk", digest].data if i in r.shared else r.data[at : at + length])
+                at += 0 if i in r.shared else length
+            assert hashlib.sha256(r.manifest + b"".join(map(bytes, parts))).hexdigest() in digests
+    damaged = stored.selectExpr("kind", "id", "manifest", "shared", "CASE WHEN kind = 'chunk' THEN substring(data, 2) ELSE data END AS data")
     with pytest.raises(Exception, match="missing or altered"):
         m.read_back(damaged).collect()
