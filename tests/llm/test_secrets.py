@@ -93,7 +93,7 @@ def test_running_and_free_match_plain_loops(spark):
         rows.append((i, [rng.randrange(-50, 50) for _ in range(rng.choice([0, 1, 63, 64, 65, 200]))], base, [(a, 3, b, "t") for a, b in zip(edges[::2], edges[1::2])]))
     df = spark.createDataFrame(rows, f"id int, v array<bigint>, base array<{secrets.SPAN}>, tokens array<{secrets.SPAN}>")
     zero = F.lit(0).cast("bigint")
-    got = df.select("id", secrets.running(F.col("v"), zero, lambda a, b: a + b).alias("sums"), secrets.running(F.col("v"), zero, F.greatest).alias("most"), secrets.free(F.col("tokens"), F.col("base")).alias("free")).collect()
+    got = df.select("id", secrets.running(F.col("v"), zero, lambda a, b: a + b).alias("sums"), secrets.running(F.col("v"), zero, lambda a, b: F.greatest(a, b)).alias("most"), secrets.free(F.col("tokens"), F.col("base")).alias("free")).collect()
     for r in got:
         _, v, base, tokens = rows[r.id]
         assert r.sums == [sum(v[:i]) for i in range(len(v))] and r.most == [max([0, *v[:i]]) for i in range(len(v))]
