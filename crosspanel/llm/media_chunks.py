@@ -75,11 +75,12 @@ def chunks_of(payload: bytes) -> list[bytes]:
     return [payload[a:b] for a, b in zip([0, *ends], ends)]
 
 
-ENTRY = struct.Struct("<16sI")
+#: An entry of a manifest and its bytes.
+ENTRY, ENTRY_BYTES = "<16sI", 20
 
 
 def manifest_of(chunks: list[bytes]) -> bytes:
-    return b"".join(ENTRY.pack(digest_of(c), len(c)) for c in chunks)
+    return b"".join(struct.pack(ENTRY, digest_of(c), len(c)) for c in chunks)
 
 
 def features(payload: bytes, n_chunks: int) -> str:
@@ -166,7 +167,7 @@ def read_back(stored: DataFrame) -> DataFrame:
     parts = [F.col(c) for c in ("id", "manifest", "shared", "data")]
     alone = payloads.where(F.size("shared") == 0).select(*parts, F.lit(None).cast("array<struct<digest:binary,bytes:binary>>").alias("brought"), F.length("data").cast("bigint").alias("size"))
     needing = payloads.where(F.size("shared") > 0)
-    digests = F.array_distinct(F.transform("shared", lambda at: F.substring(F.col("manifest"), at * ENTRY.size + 1, F.lit(16))))
+    digests = F.array_distinct(F.transform("shared", lambda at: F.substring(F.col("manifest"), at * ENTRY_BYTES + 1, F.lit(16))))
     wanted = common.written(needing.select("id", F.explode(digests).alias("digest")), "wanted")
     brought = common.keyed_join(wanted, chunks, "digest").groupBy("id").agg(F.collect_list(F.struct("digest", "bytes")).alias("brought"), F.sum(F.length("bytes")).alias("brings"))
     whole = alone.unionByName(needing.select(*parts).join(brought, "id", "left").select(*parts, "brought", (F.length("data") + F.coalesce("brings", F.lit(0))).alias("size")))
@@ -176,7 +177,7 @@ def read_back(stored: DataFrame) -> DataFrame:
             rows = []
             for key, manifest, shared, data, brought in zip(*(common.column(batch, n).to_pylist() for n in ("id", "manifest", "shared", "data", "brought"))):
                 at, by_digest, parts, shared = 0, {b["digest"]: b["bytes"] for b in brought or ()}, [], set(shared)
-                for i, (digest, length) in enumerate(ENTRY.iter_unpack(manifest)):
+                for i, (digest, length) in enumerate(struct.iter_unpack(ENTRY, manifest)):
                     if i in shared:
                         part = by_digest.get(digest, b"")
                     else:

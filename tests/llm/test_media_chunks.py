@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -59,7 +60,7 @@ def test_shared_bytes_are_stored_once_and_damage_is_seen(spark):
     for (kind, _), r in kept.items():
         if kind == "payload":
             at, parts = 0, []
-            for i, (digest, length) in enumerate(m.ENTRY.iter_unpack(r.manifest)):
+            for i, (digest, length) in enumerate(struct.iter_unpack(m.ENTRY, r.manifest)):
                 parts.append(kept["chunk", digest].data if i in r.shared else r.data[at : at + length])
                 at += 0 if i in r.shared else length
             assert hashlib.sha256(r.manifest + b"".join(map(bytes, parts))).hexdigest() in digests
