@@ -33,8 +33,8 @@ RADIUS, BITS = 3, 64
 BANDS = (13, 13, 13, 13, 12)
 #: Fingerprints in a block of a large bucket.
 BLOCK = 4096
-#: Lanes compared at once.
-LANES = 1 << 13
+#: Lanes compared at once, and fingerprints (of one row at least) whose planes are made at once: 64 bytes each while they are unpacked.
+LANES, FINGERPRINTS = 1 << 13, 1 << 16
 
 
 def fingerprint(text: str, words_per_shingle: int = 3) -> int:
@@ -55,19 +55,20 @@ def fingerprint(text: str, words_per_shingle: int = 3) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def text_key(text: Column) -> Column:
-    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Stands for id and text; null and empty texts are alike."""
+    return F.unhex(F.sha2(F.concat_ws("\x00", F.coalesce(doc_id.cast("string"), F.lit("")), doc_id.isNull().cast("string"), F.coalesce(text, F.lit(""))), 256))
 
 
 def fingerprints(df: DataFrame, keyed: bool = False) -> DataFrame:
-    """(doc_id, fp bigint[, key]) for each row; the 64 bits are those of the signed number, the key stands for the text."""
+    """(doc_id, fp bigint[, key]) for each row; the 64 bits are those of the signed number, the key stands for id and text."""
     source = common.texts_of(df)
     if keyed:
-        source = source.withColumn("key", text_key(F.col("text")))
+        source = source.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = common.column(batch, "text")
             found = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
             arrays, names = [common.column(batch, "doc_id"), pa.array(found)], ["doc_id", "fp"]
@@ -79,30 +80,30 @@ def fingerprints(df: DataFrame, keyed: bool = False) -> DataFrame:
 
 
 def band_keys(fp: Column) -> Column:
-    """An array of (table, key) for the ten band pairs."""
+    """An array of numbers, one for each of the ten band pairs: pair and bits of both bands."""
     parts, at = [], 0
     for width in BANDS:
         parts.append(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)))
         at += width
     pairs = combinations(range(len(BANDS)), 2)
-    return F.array(*(F.struct(F.lit(i).cast("tinyint").alias("t"), F.shiftleft(parts[a], 13).bitwiseOR(parts[b]).alias("key")) for i, (a, b) in enumerate(pairs)))
+    return F.array(*(F.lit(i << 26).cast("bigint") + F.shiftleft(parts[a], 13).bitwiseOR(parts[b]) for i, (a, b) in enumerate(pairs)))
 
 
 def buckets(distinct: DataFrame) -> DataFrame:
-    """Rows (left, right) of fingerprint arrays to compare; right null: left with itself."""
-    keyed = distinct.select("fp", F.explode(band_keys(F.col("fp"))).alias("k")).select("fp", "k.t", "k.key")
+    """Rows (left, right, n) of fingerprint arrays to compare and how many there are; right null: left with itself. ``distinct`` is a written table."""
+    keyed = distinct.select("fp", F.explode(band_keys(F.col("fp"))).alias("bucket"))
     # Counts ignore how a bucket is dealt later, so blocks are known before fingerprints are gathered.
-    sized = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(sized, ["t", "key"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp", "t"), F.col("blocks")).cast("int"))
-    rows = dealt.groupBy("t", "key", "blocks", "block").agg(F.collect_list("fp").alias("fps"))
+    sized = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = common.keyed_join(keyed, sized, "bucket").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp", "bucket"), F.col("blocks")).cast("int"))
+    rows = dealt.groupBy("bucket", "blocks", "block").agg(F.collect_list("fp").alias("fps"))
     alone = rows.where("blocks = 1").select(F.col("fps").alias("left"), F.lit(None).cast("array<bigint>").alias("right"))
     many = rows.where("blocks > 1")
     # Each block meets the blocks from its own number on: one copy for each pair, side 0 the smaller number.
-    copies = many.select("t", "key", "block", "fps", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "t", "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.col("block").alias("own"), "fps"
+    copies = many.select("bucket", "block", "fps", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.col("block").alias("own"), "fps"
     )
-    paired = copies.groupBy("t", "key", "a", "b").agg(F.max(F.when(F.col("own") == F.col("a"), F.col("fps"))).alias("left"), F.max(F.when((F.col("own") == F.col("b")) & (F.col("a") != F.col("b")), F.col("fps"))).alias("right"))
-    return alone.unionByName(paired.select("left", "right"))
+    paired = copies.groupBy("bucket", "a", "b").agg(F.max(F.when(F.col("own") == F.col("a"), F.col("fps"))).alias("left"), F.max(F.when((F.col("own") == F.col("b")) & (F.col("a") != F.col("b")), F.col("fps"))).alias("right"))
+    return alone.unionByName(paired.select("left", "right")).withColumn("n", (F.size("left") + F.coalesce(F.size("right"), F.lit(0))).cast("bigint"))
 
 
 class Planes:
@@ -210,7 +211,7 @@ def links(pairs: DataFrame, radius: int = RADIUS) -> DataFrame:
         return [flat[offsets[i] : offsets[i + 1]] if values[i].is_valid else None for i in range(len(values))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, "n", FINGERPRINTS):
             a, b = compare_buckets(arrays(common.column(batch, "left")), arrays(common.column(batch, "right")), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -227,7 +228,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def stars(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        joined = both.join(low, "a")
+        joined = common.keyed_join(both, low, "a")  # a hub holds all links of its component
         if large:
             out = joined.where("b > a").select(F.col("low").alias("a"), F.col("b").alias("b"))
         else:
@@ -235,15 +236,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     seen = None
-    for _ in range(rounds):
-        edges = common.written(stars(stars(edges, True), False), "stars")
+    for number in range(rounds):
+        large = common.written(stars(edges, True), "large-stars")
+        before, edges = edges, common.written(stars(large, False), "stars")
+        common.drop_written(large, *([before] if number else []))
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen:
             break
         seen = mark
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    found = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    found._crosspanel_path = edges._crosspanel_path
+    return found
 
 
 def near_duplicates(df: DataFrame, radius: int = RADIUS, keyed: bool = False) -> DataFrame:
@@ -253,26 +258,37 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, keyed: bool = False) ->
     common.without_shuffle_files(df.sparkSession)
     marked = common.written(fingerprints(df, keyed), "fingerprints")
     distinct = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(common.written(links(buckets(distinct.select("fp")), radius), "links"))
+    linked = common.written(links(buckets(distinct.select("fp")), radius), "links")
+    roots = components(linked)
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     more = ["root", "key"] if keyed else []
-    named = classes.join(smallest, "root").select("fp", "component_id", *more[:1])
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp", *more)
+    named = common.written(classes.join(smallest, "root").select("fp", "component_id", *more[:1]), "named")
+    common.drop_written(distinct, linked, roots)
+    return common.keyed_join(marked, named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp", *more)
 
 
 def keep_one(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component one row stays, the first by doc_id (null ones last), fingerprint, text.
 
-    A doc_id that is repeated in several components stays in each of them.
+    What stays is decided on ids and digests; texts are shuffled once. A doc_id that is repeated in several components stays in each of them;
+    of rows with equal id and text the first by the other columns stays.
     """
-    found = common.written(near_duplicates(df, radius, keyed=True).select("doc_id", "fingerprint", "root", "key").distinct(), "keys")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fingerprint")).alias("m"))
-    first = first.select(F.col("m.doc_id").alias("_id"), F.col("m.fingerprint").alias("_fingerprint"))
-    # A fingerprint lies in one component, so these are the texts among which the first is to be found.
-    best = found.join(first, found["doc_id"].eqNullSafe(first["_id"]) & (found["fingerprint"] == first["_fingerprint"]), "left_semi")
-    best = best.select(F.col("doc_id").alias("_id"), F.col("key").alias("_best"), F.col("root").alias("_root"))
-    rows = df.withColumn("_key", text_key(F.col("text")))
-    kept = rows.join(best, rows["doc_id"].eqNullSafe(best["_id"]) & (rows["_key"] == best["_best"]))
-    order = Window.partitionBy("_root").orderBy(*(F.col(c) for c in ["text", *(c for c in df.columns if c not in ("doc_id", "text"))]))
-    return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*df.columns)
+    found = near_duplicates(df, radius, keyed=True)
+    texts = found.groupBy("root", "doc_id", "fingerprint").agg(F.min("key").alias("key"), F.max("key").alias("last"))
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fingerprint", "key", "last")).alias("m"))
+    first = common.written(first.select("root", "m.*"), "first")
+    best = first.where("key = last").select(F.col("key").alias("_key"))
+    keyed = df.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
+    if not first.where("key <> last").isEmpty():  # one id has several texts with one fingerprint
+        open_ = first.where("key <> last").select(F.col("root").alias("_root"), F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fingerprint"))
+        keys = found.join(open_, (found["root"] == open_["_root"]) & found["doc_id"].eqNullSafe(open_["_id"]) & (found["fingerprint"] == open_["_fingerprint"])).select("_root", F.col("key").alias("_key")).distinct()
+        least = keyed.select("_key", "text").join(keys, "_key").groupBy("_root").agg(F.min(F.struct("text", "_key")).alias("m"))
+        best = best.unionByName(least.select("m._key"))
+    best = common.written(best, "best")
+    kept = keyed.join(best, "_key", "left_semi")
+    # Rows of one key lie together already; which of them comes first needs their other columns only.
+    order = Window.partitionBy("_key").orderBy(*(F.col(f"`{c}`") for c in df.columns if c not in ("doc_id", "text")), F.lit(0))
+    return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
