@@ -5,7 +5,8 @@ all sequences without gaps. A keyed Feistel network over the least power of two
 below their count, is a permutation: it gives each sequence its global slot. Slot ranges are shards. Each shard is one task's
 file of records with one stride (4 bytes length, then ids, little-endian, the rest zeros), so a reader takes them in order and
 seeks to any slot. Shards are written in a fixed number of rounds, under a temporary name and then renamed: a lost task is
-repeated, and a stopped run goes on where shards are missing.
+repeated, and a stopped run goes on where shards are missing. The parameters and a digest of the input (ids and texts, in any order) are kept
+beside them: a call with others for the same path is refused.
 
 Null texts count as empty; a document without ids has one sequence of length 0. Null doc_ids and repeated rows have sequences of
 their own; an empty table gives no shards and no rows; other columns are not read.
@@ -13,9 +14,11 @@ their own; an empty table gives no shards and no rows; other columns are not rea
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -23,6 +26,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
 import tiktoken
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +37,8 @@ from .byte_bpe import read_ranks
 
 LENGTH, PER_SHARD, ROUNDS, KEY = 512, 16_384, 4, 20260101
 HEADER = 4
+#: Rows of 12 bytes that are broadcast at most.
+BASES = 500_000
 
 
 def permuted(index: np.ndarray, count: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -71,7 +77,7 @@ def _encoding(ranks_path: str) -> tiktoken.Encoding:
 
 
 def sequences(df: DataFrame, ranks_path: str, length: int = LENGTH) -> DataFrame:
-    """(task, place, doc_id, start, length, ids binary) for each sequence of at most ``length`` ids."""
+    """(task, place, doc_id, start, length, ids binary, digest) for each sequence of at most ``length`` ids; the digest is the whole text's, in its first sequence."""
     source = common.texts_of(df)
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -79,7 +85,7 @@ def sequences(df: DataFrame, ranks_path: str, length: int = LENGTH) -> DataFrame
         encoding, task, place = _encoding(ranks_path), TaskContext.get().partitionId(), 0
         item = 2 if encoding.max_token_value < 1 << 16 else 4
         for batch in common.slices(batches):
-            whose, starts, sizes, data = [], [], [], []
+            whose, starts, sizes, data, digests = [], [], [], [], []
             for doc, text in enumerate(common.column(batch, "text").to_pylist()):
                 ids = encoding.encode_to_numpy(text, disallowed_special=()).astype(f"<u{item}").tobytes()
                 for at in range(0, max(len(ids), 1), length * item):
@@ -88,19 +94,49 @@ def sequences(df: DataFrame, ranks_path: str, length: int = LENGTH) -> DataFrame
                     starts.append(at // item)
                     sizes.append(len(part) // item)
                     data.append(part)
+                    digests.append(None if at else _digest(text))
             n = len(whose)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, task, np.int32)), pa.array(np.arange(place, place + n)), common.column(batch, "doc_id").take(pa.array(whose)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())],
-                ["task", "place", "doc_id", "start", "length", "ids"],
+                [pa.array(np.full(n, task, np.int32)), pa.array(np.arange(place, place + n)), common.column(batch, "doc_id").take(pa.array(whose)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary()), pa.array(digests, pa.int64())],
+                ["task", "place", "doc_id", "start", "length", "ids", "digest"],
             )
             place += n
 
-    return source.mapInArrow(run, f"task int, place bigint, doc_id {kind}, start bigint, length bigint, ids binary")
+    return source.mapInArrow(run, f"task int, place bigint, doc_id {kind}, start bigint, length bigint, ids binary, digest bigint")
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def input_digest(rows: DataFrame) -> list[str]:
+    """Number and sum of hashes of (doc_id, digest)."""
+    n, total = rows.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "digest").cast("decimal(38,0)"))).first()
+    return [str(n), str(total)]
+
+
+def text_digests(df: DataFrame) -> DataFrame:
+    """(doc_id, digest) for each row, as its first sequence has it."""
+    source = common.texts_of(df)
+    kind = source.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([common.column(batch, "doc_id"), pa.array([_digest(t) for t in common.column(batch, "text").to_pylist()], pa.int64())], ["doc_id", "digest"])
+
+    return source.mapInArrow(run, f"doc_id {kind}, digest bigint")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark gives it: one without goes to Hadoop's default file system, as Spark's own tables do."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().toString().rstrip("/")
+    return f"file://{found[5:]}" if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def _opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a folder, for any scheme that Arrow knows; a plain path is local."""
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    """The file system and path of a folder with a scheme; one that Arrow does not know raises."""
+    return pafs.FileSystem.from_uri(path)
 
 
 def shard_name(path: str, shard: int) -> str:
@@ -146,6 +182,7 @@ def write_shards(numbered: DataFrame, path: str, shards: range, count: int, stri
 
 def read_shards(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame:
     """(slot, ids binary) of all records from ``first_slot`` on, shard by shard in order."""
+    path = qualified(spark, path)
     filesystem, folder = _opened(path)
     with filesystem.open_input_stream(f"{folder}/manifest.json") as file:
         about = json.loads(file.read())
@@ -173,37 +210,57 @@ def read_shards(spark: SparkSession, path: str, first_slot: int = 0) -> DataFram
 def materialise(df: DataFrame, ranks_path: str, path: str | None = None, key: int = KEY, length: int = LENGTH, per_shard: int = PER_SHARD, rounds: int = ROUNDS) -> tuple[DataFrame, str]:
     """Writes shards, a manifest and an index below ``path``; returns the index (slot, doc_id, start, length) and the path.
 
-    A second call with the same path writes only what the first did not finish.
+    A second call with the same path writes only what the first did not finish; with other parameters or another input it raises.
     """
     spark = df.sparkSession
     common.without_shuffle_files(spark)
-    path = path or common.fresh_path(spark, "tokens")
+    path = qualified(spark, path or common.fresh_path(spark, "tokens"))
     filesystem, folder = _opened(path)
     filesystem.create_dir(folder)
     there = lambda name: filesystem.get_file_info(f"{folder}/{name}").type != pafs.FileType.NotFound
+    item = 2 if _encoding(ranks_path).max_token_value < 1 << 16 else 4
+    stride = HEADER + length * item
+    asked = {"length": length, "per_shard": per_shard, "rounds": rounds, "key": key, "id_bytes": item, "stride": stride, "ranks": hashlib.sha256(Path(ranks_path).read_bytes()).hexdigest()}
+
+    def keep(name: str, about: dict) -> None:
+        with filesystem.open_output_stream(f"{folder}/{name}.tmp") as file:
+            file.write(json.dumps(about).encode())
+        filesystem.move(f"{folder}/{name}.tmp", f"{folder}/{name}")
+
+    def must_be(name: str, about: dict) -> None:
+        with filesystem.open_input_stream(f"{folder}/{name}") as file:
+            if (found := json.loads(file.read())) != about:
+                raise ValueError(f"{path} was begun with {found}, not {about}")
+
+    if there("asked.json"):
+        must_be("asked.json", asked)
+    else:
+        keep("asked.json", asked)
     made = sequences(df, ranks_path, length)
-    if not there("sequences/_SUCCESS"):
+    if there("input.json"):
+        must_be("input.json", {"input": input_digest(text_digests(df))})
+    else:
         made.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/sequences")
-    stored = spark.read.schema(made.schema).parquet(f"{path}/sequences")
-    # One row of 12 bytes for each write task (128 MB of input or more): under 10 MB at 100 TB, so it can be broadcast.
+        keep("input.json", {"input": input_digest(spark.read.schema(made.schema).parquet(f"{path}/sequences").where("start = 0"))})
+    stored = spark.read.schema(made.schema).parquet(f"{path}/sequences").drop("digest")
+    # One row for each write task (128 MB of input or more: under a million at 100 TB), so one task can number them; they are broadcast up to BASES rows.
     sizes = stored.groupBy("task").agg(F.count("*").alias("n"))
     bases = sizes.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("base"))
-    count = int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    item = 2 if _encoding(ranks_path).max_token_value < 1 << 16 else 4
-    stride, shards = HEADER + length * item, -(-count // per_shard)
+    tasks, count = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = -(-count // per_shard)
 
     @F.pandas_udf("bigint")
     def slot_of(index: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(), count, key))
 
-    numbered = stored.join(F.broadcast(bases), "task").select(slot_of(F.col("base") + F.col("place")).alias("slot"), "doc_id", "start", "length", "ids")
+    slot = slot_of.asNondeterministic()(F.col("base") + F.col("place"))  # else a filter on slots would compute them twice
+    numbered = stored.join(F.broadcast(bases) if tasks <= BASES else bases, "task").select(slot.alias("slot"), "doc_id", "start", "length", "ids")
     step = max(1, -(-shards // rounds))
     for first in range(0, shards, step):
         part = range(first, min(first + step, shards))
         if not there(f"index/first={first}/_SUCCESS"):
             write_shards(numbered, path, part, count, stride, per_shard).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/index/first={first}")
-    with filesystem.open_output_stream(f"{folder}/manifest.json") as file:
-        file.write(json.dumps({"count": count, "stride": stride, "per_shard": per_shard, "shards": shards, "length": length, "id_bytes": item, "key": key}).encode())
+    keep("manifest.json", {"count": count, "stride": stride, "per_shard": per_shard, "shards": shards, "length": length, "id_bytes": item, "key": key})
     schema = numbered.select("slot", "doc_id", "start", "length").schema
     return (spark.read.schema(schema).parquet(*(f"{path}/index/first={first}" for first in range(0, shards, step))) if shards else spark.createDataFrame([], schema)), path
 

@@ -45,6 +45,13 @@ def test_shards_hold_every_sequence_and_resume(spark):
     changed = {n for n in sizes if os.stat(f"{folder}/{n}").st_mtime_ns != before[n]}
     assert changed and changed != set(sizes)
     assert {r.slot: bytes(r.ids) for r in t.read_shards(spark, path).collect()} == back
+    for other in ({"length": 32}, {"key": 5}, {"per_shard": 8}):
+        with pytest.raises(ValueError, match="was begun with"):
+            t.materialise(df, RANKS, path=path, **{"length": 64, "per_shard": 16, **other})
+    with pytest.raises(ValueError, match="was begun with"):
+        t.materialise(df.where("doc_id <> 3"), RANKS, path=path, length=64, per_shard=16)
+    assert t.materialise(df.repartition(5), RANKS, path=path, length=64, per_shard=16)[0].count() == len(got)  # the same rows in another order
+    assert t.qualified(spark, "/a/b") == "file:///a/b" and t.qualified(spark, "file:///a") == "file:///a"
     crc = {(r.doc_id, r.start, r.ids_crc32) for r in t.digests(df, RANKS, length=64, per_shard=16).collect()}
     assert crc == {(*k, zlib.crc32(x)) for k, v in wanted.items() for x in v}
 
