@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from crosspanel.llm import topk
 
 
@@ -25,3 +27,10 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
         found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert found == wanted
     assert topk.top_k(df, df.where("false")).count() == 0 and topk.top_k(df.where("vec_id = 5"), df.where("vec_id = 5")).count() == 0
+
+
+def test_beyond_64_bits_raises(spark):
+    for rows in ([(1, [1e300]), (50, [1.0])], [(1, [1e16] * 3), (50, [1e16] * 3)]):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(df, df.where("vec_id = 50")).collect()
