@@ -42,8 +42,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage is written as Parquet in the shared folder and read again as the next one's documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage is written as Parquet in the shared folder and read again as the next one's documents, and then dropped."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            common.drop_written(*before)
+        before = [docs]
     return docs
