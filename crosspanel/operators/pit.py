@@ -19,7 +19,7 @@ def as_date(df: DataFrame, name: str = "date") -> DataFrame:
     return df.withColumn(name, F.to_date(name) if dict(df.dtypes)[name] in ("string", "timestamp", "timestamp_ntz") else F.col(name))
 
 
-def normalized_bars(bars: DataFrame, prefix: str = "RW_R1000::") -> DataFrame:
+def normalized_bars(bars: DataFrame, prefix: str = "R1000::") -> DataFrame:
     """Typed bars with asset_id and total_return against the last known close of the ticker."""
     require_columns(bars, ["ticker", "date", "close", "is_universe"], "bars")
     doubles = [c for c in ("open", "high", "low", "close", "unadjusted_close", "volume") if c in bars.columns]
@@ -29,7 +29,7 @@ def normalized_bars(bars: DataFrame, prefix: str = "RW_R1000::") -> DataFrame:
     return rows.withColumn("total_return", ratio(last, F.nullif(before, F.lit(0.0))) - 1)
 
 
-def normalized_fundamentals(rows: DataFrame, prefix: str = "RW_R1000::") -> DataFrame:
+def normalized_fundamentals(rows: DataFrame, prefix: str = "R1000::") -> DataFrame:
     require_columns(rows, ["ticker", "date", "market_cap", "price_to_book", "is_universe"], "fundamentals")
     casts = {c: F.col(c).cast("double") for c in CHARACTERISTICS if c in rows.columns}
     return as_date(rows).withColumns(casts | {"is_universe": F.col("is_universe").cast("tinyint"), "asset_id": F.concat(F.lit(prefix), "ticker")})
@@ -58,9 +58,9 @@ def coverage_summary(daily: DataFrame) -> DataFrame:
     return daily.agg(*out)
 
 
-def build_panel(bars: DataFrame, fundamentals: DataFrame, floor: float = 0.90) -> tuple[DataFrame, DataFrame]:
-    """(panel, coverage): members on dates where both coverages reach the floor, with lagged market cap and book price."""
-    b, f = normalized_bars(bars), normalized_fundamentals(fundamentals)
+def build_panel(bars: DataFrame, fundamentals: DataFrame, floor: float = 0.90, prefix: str = "R1000::") -> tuple[DataFrame, DataFrame]:
+    """(panel, coverage): members on dates where both coverages reach the floor, with lagged market cap and book price. Asset ids are tickers with the prefix."""
+    b, f = normalized_bars(bars, prefix), normalized_fundamentals(fundamentals, prefix)
     start = b.agg(F.min("date").alias("d")).crossJoin(f.agg(F.min("date").alias("e"))).select(F.greatest("d", "e").alias("start"))  # one row
     b, f = (x.join(F.broadcast(start), x["date"] >= start["start"]).drop("start") for x in (b, f))
     lagged = lagged_characteristics(f)

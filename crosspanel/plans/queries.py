@@ -267,7 +267,7 @@ LAGS = f"""{PX}, lg AS (SELECT date, ticker, LAG(market_cap) OVER (PARTITION BY
   close / LAG(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret, close, volume, is_universe FROM px),
 cv AS (SELECT date, COUNT(*) AS n_active, COUNT(mc) AS n_market_cap, COUNT(pb) AS n_price_to_book, COUNT(mc) / CAST(COUNT(*) AS DOUBLE) AS market_cap_coverage, COUNT(pb) / CAST(COUNT(*) AS DOUBLE) AS price_to_book_coverage
   FROM lg WHERE is_universe = 1 GROUP BY 1),
-pn AS (SELECT date, 'RW_R1000::' || ticker AS asset_id, ticker, ret AS asset_returns, mc AS market_cap, CASE WHEN pb > 0 THEN 1 / pb END AS book_price
+pn AS (SELECT date, 'R1000::' || ticker AS asset_id, ticker, ret AS asset_returns, mc AS market_cap, CASE WHEN pb > 0 THEN 1 / pb END AS book_price
   FROM lg JOIN cv USING (date) WHERE is_universe = 1 AND mc > 0 AND market_cap_coverage >= 0.9 AND price_to_book_coverage >= 0.9)"""
 
 

@@ -324,8 +324,16 @@ def test_sources(spark, tmp_path):
     got = archive.read_archives(spark, str(tmp_path), dt.datetime(2024, 1, 1, tzinfo=utc), dt.datetime(2024, 1, 1, 2, tzinfo=utc)).orderBy("timestamp").collect()
     assert [r.close for r in got] == [1.0, 2.0] and got[0].symbol == "BTCUSDT" and got[0].quote_volume == 7
     assert archive.missing_symbols(spark, spark.createDataFrame(got), ["ZZ", "BTCUSDT"]) == ["ZZ"]
+    again = io.BytesIO()
+    with zipfile.ZipFile(again, "w") as z:  # a later file in microseconds, with a time repeated: the later line wins
+        z.writestr("k.csv", "".join(f"{1704067200000000 + 3600000000 * i},1,2,0.5,{v},9,0,7,1,1,1,0\n" for i, v in ((0, 5), (0, 6), (1, "bad"))))
+    (tmp_path / "BTCUSDT-1h-2024-02.zip").write_bytes(again.getvalue())
+    (tmp_path / "ETHUSDT-1h-2024-01.zip").write_bytes(buffer.getvalue())
+    whole = archive.read_archives(spark, str(tmp_path), dt.datetime(2024, 1, 1, tzinfo=utc), dt.datetime(2024, 1, 2, tzinfo=utc), ["btcusdt"]).orderBy("timestamp").collect()
+    assert [r.close for r in whole] == [6.0, 2.0, 3.0] and {r.symbol for r in whole} == {"BTCUSDT"}
     with pytest.raises(ValueError, match="zip"):
-        archive.parse_klines(b"no", "x")
+        archive.lines_of(b"no", "x")
+    assert archive.completed_month_end(dt.datetime(2024, 3, 9, 5, tzinfo=utc)) == dt.datetime(2024, 3, 1, tzinfo=utc)
     with pytest.raises(ValueError):
         archive.starter_contracts(1)
     assert len(archive.starter_contracts()) == 50 and archive.month_starts(dt.datetime(2023, 11, 5, tzinfo=utc), dt.datetime(2024, 2, 1, tzinfo=utc))[-1].month == 1
@@ -334,7 +342,12 @@ def test_sources(spark, tmp_path):
     live = spark.createDataFrame([(s, "PERPETUAL", "USDT", "TRADING") for s in ("AUSDT", "BUSDT", "CUSDT")], "symbol string, contractType string, quoteAsset string, status string")
     volume = spark.createDataFrame([("AUSDT", "5"), ("BUSDT", "5"), ("CUSDT", "40"), ("DUSDT", "99")], "symbol string, quoteVolume string")
     assert archive.discovered_contracts(live, volume, 4) == ["BTCUSDT", "ETHUSDT", "CUSDT", "BUSDT"]
-    assert len(capabilities.ROBOT_WEALTH_R1000.blockers(False)) == 3
+    assert list(capabilities.LARGE_THOUSAND.unmet(False)) == ["stable_asset_ids", "terminal_delisting_economics", "pit_major_exchange_status"] and capabilities.LARGE_THOUSAND.raw_dollar_turnover
+    assert len(capabilities.LARGE_THOUSAND.blockers()) == 4 and list(capabilities.LISTED_AND_DELISTED.unmet()) == ["terminal_delisting_economics", "pit_sector_industry"]
+    own = capabilities.SourceCapabilities.from_json('{"name": "x", "stable_asset_ids": true, "notes": ["n"]}')
+    assert own.notes == ("n",) and "stable_asset_ids" not in own.unmet()
+    with pytest.raises(ValueError, match="unknown capabilities"):
+        capabilities.SourceCapabilities.from_json('{"name": "x", "other": 1}')
     with pytest.raises(ValueError, match="unknown kind"):
         readers.read_frame(spark, "x.xyz")
     (tmp_path / "u.csv").write_text("Symbol,Security,GICS Sector,GICS Sub-Industry\nBRK.B,Berkshire,Fin,Ins\n")
