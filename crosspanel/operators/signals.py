@@ -14,10 +14,16 @@ def _positive(lookback: int) -> None:
         raise ValueError("lookback must be at least 1")
 
 
+def momenta(panel: DataFrame, lookback: int, **names: str) -> DataFrame:
+    """(date, asset, names): for each name the sum of its column's last values, all on one dense grid, NULL where one is missing."""
+    _positive(lookback)
+    sums = {name: full_sum(F.col(value), 1 - lookback, 0, "asset") for name, value in names.items()}
+    return dense(panel, *dict.fromkeys(names.values())).select("date", "asset", *(c.alias(name) for name, c in sums.items()))
+
+
 def momentum(panel: DataFrame, value: str, lookback: int = 20, name: str = "signal") -> DataFrame:
     """(date, asset, signal): sum of the last values on the dense grid, NULL where one is missing."""
-    _positive(lookback)
-    return dense(panel, value).withColumn(name, full_sum(F.col(value), 1 - lookback, 0, "asset")).select("date", "asset", name)
+    return momenta(panel, lookback, **{name: value})
 
 
 def reversal(panel: DataFrame, value: str, lookback: int = 5, name: str = "signal") -> DataFrame:

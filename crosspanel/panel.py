@@ -30,9 +30,18 @@ def scrubbed(df: DataFrame, *names: str) -> DataFrame:
 
 
 def dense(df: DataFrame, *values: str, date: str = "date", asset: str = "asset") -> DataFrame:
-    """A row for each date and asset: windows that count rows then count dates. The distinct dates are few, so they are broadcast only if Spark finds them small."""
-    grid = df.select(date).distinct().crossJoin(df.select(asset).distinct())
-    return grid.join(df.select(date, asset, *values), [date, asset], "left")
+    """A row for each date and asset: windows that count rows then count dates.
+
+    One shuffle by asset, which windows by asset then share: an asset's rows get those dates of the calendar that they lack. The calendar is one
+    row that comes from the same shuffle, so the input is computed once. Rows without a date or an asset take no part.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.where(F.col(date).isNotNull() & F.col(asset).isNotNull())
+    held = rows.groupBy(asset).agg(F.collect_list(F.struct(date, *values)).alias("_held"))
+    calendar = held.select(F.explode(F.transform("_held", lambda x: x[date])).alias("_d")).agg(F.collect_set("_d").alias("_dates"))
+    lacking = F.transform(F.array_except("_dates", F.transform("_held", lambda x: x[date])), lambda d: F.struct(d.alias(date), *(F.lit(None).cast(kinds[v]).alias(v) for v in values)))
+    whole = held.crossJoin(F.broadcast(calendar))  # one row
+    return whole.select(asset, F.inline(F.concat("_held", lacking))).select(date, asset, *values)
 
 
 def aligned(left: DataFrame, right: DataFrame, date: str = "date", asset: str = "asset") -> DataFrame:

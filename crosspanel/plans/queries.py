@@ -57,8 +57,7 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, asset, ret, sector, industry, market_cap) on the grid."""
     px = prices(spark, sf_dir)
     classes = px.select(F.col("ticker").alias("asset"), "sector", "industry").distinct()
-    caps = px.select("date", F.col("ticker").alias("asset"), "market_cap")
-    return returns_of(px).join(F.broadcast(risk_model.check_nesting(classes)), "asset").join(caps, ["date", "asset"], "left")  # 25 brands
+    return returns_of(px, keep=["market_cap"]).join(F.broadcast(risk_model.check_nesting(classes)), "asset").select("date", "asset", "ret", "sector", "industry", "market_cap")  # 25 brands
 
 
 MODEL = f"""{RET}, u AS (SELECT * FROM r WHERE ret IS NOT NULL),
@@ -107,11 +106,9 @@ def residual_signal(spark, sf_dir):
 
 @query(final(f"{SIG}, o AS (SELECT date, asset, signal AS momentum, -signal AS reversal, raw FROM sig)", "o", "date", "asset", "momentum!", "reversal!", "raw!", digits=10), digits=10)
 def momentum_signals(spark, sf_dir):
-    panel = weekly(spark, sf_dir)
-    residual = risk_model.decompose(panel)
-    reversal = signals.reversal(residual, "residual", 4, "reversal").withColumn("reversal", F.round("reversal", 10))
-    out = residual_signal(spark, sf_dir).withColumnRenamed("signal", "momentum").join(reversal, ["date", "asset"])
-    return out.join(signals.momentum(panel, "ret", 4, "raw"), ["date", "asset"])
+    found = signals.momenta(risk_model.decompose(weekly(spark, sf_dir)), 4, momentum="residual", raw="ret")
+    momentum = F.round("momentum", 10) + F.lit(0.0)
+    return found.select("date", "asset", momentum.alias("momentum"), (-momentum).alias("reversal"), "raw")
 
 
 SECTOR_W = f"""{SIG}, k AS (SELECT *, COUNT(signal) OVER (PARTITION BY date, sector) AS n, ROW_NUMBER() OVER (PARTITION BY date, sector ORDER BY signal ASC NULLS LAST, asset) AS lo FROM sig),

@@ -40,19 +40,19 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
     return named.select("ticker", F.translate("ticker", ".", "-").alias("yahoo_ticker"), "company", "sector", "industry")
 
 
-def returns_of(prices: DataFrame, universe: DataFrame | None = None) -> DataFrame:
-    """(date, asset, ret) on the dense grid from (date, ticker, close): changes from the date before, no filling.
+def returns_of(prices: DataFrame, universe: DataFrame | None = None, keep: Iterable[str] = ()) -> DataFrame:
+    """(date, asset, ret, kept columns) on the dense grid from (date, ticker, close): changes from the date before, no filling.
 
-    With a universe, vendor tickers become its own and other names go.
+    Of rows with one date and ticker the one with the greatest close (then kept columns) stays. With a universe, vendor tickers become its own and other names go.
     """
-    rows = prices.dropDuplicates(["date", "ticker"])
+    keep = list(keep)
+    rows = prices.groupBy("date", "ticker").agg(F.max(F.struct("close", *keep)).alias("_row")).select("date", "ticker", "_row.*")
     if universe is not None:
-        names = universe.select(F.col("yahoo_ticker").alias("ticker"), F.col("ticker").alias("asset"))
-        rows = rows.join(names, "ticker").select("date", "asset", "close")
+        rows = rows.join(universe.select(F.col("yahoo_ticker").alias("ticker"), F.col("ticker").alias("asset")), "ticker").drop("ticker")
     else:
-        rows = rows.select("date", F.col("ticker").alias("asset"), "close")
+        rows = rows.withColumnRenamed("ticker", "asset")
     before = F.lag("close").over(series("asset"))
-    return dense(rows, "close").withColumn("ret", ratio(F.col("close"), F.nullif(before, F.lit(0.0))) - 1).select("date", "asset", "ret")
+    return dense(rows, "close", *keep).withColumn("ret", ratio(F.col("close"), F.nullif(before, F.lit(0.0))) - 1).select("date", "asset", "ret", *keep)
 
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:
