@@ -172,3 +172,10 @@ def rolling_risk(daily: DataFrame, window: int = 60, least: int = 30) -> DataFra
     cov = long.select("date", "p.*").where("ww IS NOT NULL").groupBy("date", "a", "b").agg(F.count("*").alias("n"), (F.first("ww") * F.covar_samp("x", "y")).alias("part")).where(F.col("n") >= least)
     shares = cov.groupBy("date", F.col("a").alias("asset")).agg(F.max("n").alias("n"), F.sum("part").alias("part")).withColumn("variance", F.sum("part").over(Window.partitionBy("date")))
     return shares.where("variance > 0").select("date", "n", F.sqrt(F.col("variance") * YEAR).alias("volatility"), "asset", (F.col("part") / F.col("variance")).alias("contribution"))
+
+
+def latest_risk(daily: DataFrame, window: int = 60, least: int = 30) -> DataFrame:
+    """The rows of ``rolling_risk`` on its last date."""
+    found = rolling_risk(daily, window, least)
+    last = Window.partitionBy(F.lit(1)).orderBy(F.col("date").desc())  # the strategy's own series
+    return found.withColumn("_rank", F.rank().over(last)).where("_rank = 1").drop("_rank")

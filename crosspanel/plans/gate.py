@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -73,7 +73,7 @@ def bootstrap_interval(paired: DataFrame, samples: int, block: int, seed: int, a
 
 
 def sleeves(returns: DataFrame, market: DataFrame, config: GateConfig) -> DataFrame:
-    """(date, raw, residual): monthly net returns of both momentum sleeves, neutral to beta and scaled to one volatility."""
+    """(date, raw, residual, and of each turnover, longs, shorts): monthly net returns of both momentum sleeves, neutral to beta and scaled to one volatility."""
     config.validate()
     from crosspanel.panel import dense
 
@@ -92,19 +92,25 @@ def sleeves(returns: DataFrame, market: DataFrame, config: GateConfig) -> DataFr
         neutral = portfolio.beta_neutral(weights)
         base = portfolio.path(neutral, monthly, config.cost_bps)
         scaled = portfolio.scaled(neutral, portfolio.vol_scalars(base, config.target_vol, config.vol_months, config.vol_cap))
-        net = portfolio.path(scaled, monthly, config.cost_bps).select("date", F.col("net").alias(name))
+        names = scaled.groupBy("date").agg(F.count_if(F.col("weight") > 0).alias(f"{name}_longs"), F.count_if(F.col("weight") < 0).alias(f"{name}_shorts"))
+        net = portfolio.path(scaled, monthly, config.cost_bps).select("date", F.col("net").alias(name), F.col("turnover").alias(f"{name}_turnover")).join(names, "date")
         out = net if out is None else out.join(net, "date")
     return out.where(F.abs("raw") + F.abs("residual") > 0)
 
 
-def run_gate(returns: DataFrame, market: DataFrame, config: GateConfig = GateConfig()) -> dict[str, float | str | int | None]:
-    """The blind summary: correlation, interval, the bound used for power, months and status."""
+def run_gate(returns: DataFrame, market: DataFrame, config: GateConfig = GateConfig()) -> dict[str, object]:
+    """The blind summary: correlation, interval, the bound used for power, months, status, turnover, names held and known, and the parameters."""
     paired = sleeves(returns, market, config).persist()
+    held = []
+    for name in ("raw", "residual"):
+        held += [F.avg(f"{name}_turnover").alias(f"{name}_mean_turnover"), (12 * F.avg(f"{name}_turnover")).alias(f"{name}_annual_turnover")]
+        held += [F.median(f"{name}_{side}").alias(f"{name}_median_{side}") for side in ("longs", "shorts")]
     try:
-        about = paired.agg(F.count("*").alias("n"), correlation(F.col("raw"), F.col("residual")).alias("rho"), F.min("date").alias("first"), F.max("date").alias("last")).first()
+        about = paired.agg(F.count("*").alias("n"), correlation(F.col("raw"), F.col("residual")).alias("rho"), F.min("date").alias("first"), F.max("date").alias("last"), *held).first().asDict()
         interval = bootstrap_interval(paired, config.samples, config.block, config.seed).first()
     finally:
         paired.unpersist()
+    names = returns.where("ret IS NOT NULL").agg(F.count_distinct("asset")).first()[0]
     if interval["share_known"] < 0.9:
         raise ValueError("the bootstrap correlations are mostly undefined")
     low, high = interval["low"], interval["high"]
@@ -112,4 +118,4 @@ def run_gate(returns: DataFrame, market: DataFrame, config: GateConfig = GateCon
     need = power_requirement(max(-0.999999, min(0.999999, bound)), config)
     years = config.clean_years
     status = "MEASUREMENT_ONLY" if years is None else "GREENLIGHT" if years >= need["required_years"] else "UNRESOLVABLE"
-    return {"months": about["n"], "first": str(about["first"]), "last": str(about["last"]), "rho": about["rho"], "rho_low": low, "rho_high": high, "rho_for_power": bound, "status": status, **need}
+    return {"months": about["n"], "first": str(about["first"]), "last": str(about["last"]), "rho": about["rho"], "rho_low": low, "rho_high": high, "rho_for_power": bound, "status": status, **need, **{k: v for k, v in about.items() if "turnover" in k or "median" in k}, "names": names, "config": asdict(config)}

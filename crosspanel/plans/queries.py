@@ -11,7 +11,7 @@ from crosspanel.operators import attribution, betas, events, metrics, overlay, p
 from crosspanel.panel import dense
 from crosspanel.plans import fixtures, gate
 from crosspanel.sources.readers import returns_of
-from crosspanel.sources.store import audit, universe_sizes
+from crosspanel.sources.store import audit, ever_missing, universe_sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 8
@@ -356,10 +356,23 @@ def audit_nulls(spark, sf_dir):
     return audit(prices(spark, sf_dir).select("date", "ticker", "market_cap", "price_to_book")).withColumnRenamed("column", "column_name")
 
 
+@query(final(f"{PX}, dy AS (SELECT date, COUNT(*) AS n FROM px WHERE is_universe = 1 GROUP BY 1), ms AS (SELECT CAST(DATE_TRUNC('month', date) AS DATE) AS month, MIN(n) AS least, MEDIAN(n) AS median, MAX(n) AS most FROM dy GROUP BY 1)", "ms", "month", "least", "median!", "most"))
+def audit_sizes_by_month(spark, sf_dir):
+    return universe_sizes(prices(spark, sf_dir), by="month")
+
+
+MISSING = " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(DISTINCT CASE WHEN {c} IS NULL THEN ticker END) AS ever_missing, COUNT(DISTINCT ticker) AS keys FROM px" for c in ("market_cap", "price_to_book"))
+
+
+@query(final(f"{PX}, em AS ({MISSING})", "em", "column_name", "ever_missing", "keys"))
+def audit_ever_missing(spark, sf_dir):
+    return ever_missing(prices(spark, sf_dir).select("ticker", "market_cap", "price_to_book")).withColumnRenamed("column", "column_name")
+
+
 @query()
 def cross_section_wls(spark, sf_dir):
     rows = weekly(spark, sf_dir).join(weekly_betas(spark, sf_dir).select("date", "asset", "beta"), ["date", "asset"]).withColumn("weight", F.sqrt("market_cap"))
-    return regress.cross_sections(rows, least=10, share=0.02).where("kind <> 'date'").select("date", "kind", "name", "value")
+    return regress.cross_sections(rows, least=10, share=0.02)
 
 
 @query(digits=5)
@@ -510,16 +523,45 @@ def worst_days(spark, sf_dir):
     return attribution.worst_days(daily(spark, sf_dir))
 
 
-@query()
+def explained_by_three(y: str, x: list[str]) -> str:
+    """R2 of y on three columns in closed form, from covariances of complete rows."""
+    c = lambda i, j: f"COVAR_POP({i}, {j})"
+    (s11, s12, s13), (_, s22, s23), (_, _, s33) = ([c(i, j) for j in x] for i in x)
+    c1, c2, c3 = (c(y, i) for i in x)
+    det = f"({s11} * ({s22} * {s33} - {s23} * {s23}) - {s12} * ({s12} * {s33} - {s23} * {s13}) + {s13} * ({s12} * {s23} - {s22} * {s13}))"
+    square = f"{c1} * {c1} * ({s22} * {s33} - {s23} * {s23}) + {c2} * {c2} * ({s11} * {s33} - {s13} * {s13}) + {c3} * {c3} * ({s11} * {s22} - {s12} * {s12})"
+    mixed = f"{c1} * {c2} * ({s13} * {s23} - {s12} * {s33}) + {c1} * {c3} * ({s12} * {s23} - {s13} * {s22}) + {c2} * {c3} * ({s12} * {s13} - {s11} * {s23})"
+    return f"CASE WHEN COUNT(*) >= 5 AND VAR_POP({y}) > 0 THEN ({square} + 2 * ({mixed})) / {det} / VAR_POP({y}) END"
+
+
+A4 = [f"r_{t}" for t in attribution.ACTIVE]
+
+
+@query(final(f"""{ACC}, {regimes("ac", "r_VTI", ", ".join(A4))}, fu AS (SELECT * FROM rg WHERE {" AND ".join(f"{c} IS NOT NULL" for c in A4)}),
+g AS ({" UNION ALL ".join(f"SELECT '{t}' AS asset, regime, COUNT(*) AS n, {explained_by_three(f'r_{t}', [c for c in A4 if c != f'r_{t}'])} AS r2 FROM fu GROUP BY regime" for t in attribution.ACTIVE)}), o AS (SELECT *, 1 - r2 AS unique_variance FROM g)""", "o", "asset", "regime", "n", "r2!", "unique_variance!", digits=5), digits=5)
 def unique_risk(spark, sf_dir):
     return attribution.unique_risk(daily(spark, sf_dir))
 
 
-@query()
+ON = {t: f"ABS(w_{t}) > 1e-12" for t in attribution.ACTIVE}
+RISK = f"""{ACC}, d AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date) AS rn, w_VTI, w_TLT, w_GLD, w_SVXY + w_VIXY AS w_VOL, {", ".join(A4)} FROM ac),
+bo AS (SELECT n.date, {", ".join(f"n.w_{t}" for t in attribution.ACTIVE)}, {", ".join(f"p.{c}" for c in A4)} FROM d n JOIN d p ON p.rn BETWEEN n.rn - 59 AND n.rn),
+co AS (SELECT * FROM bo WHERE {" AND ".join(f"(NOT ({ON[t]}) OR r_{t} IS NOT NULL)" for t in attribution.ACTIVE)} AND ({" OR ".join(ON.values())})),
+pr AS ({" UNION ALL ".join(f"SELECT date, '{a}' AS asset, COUNT(*) AS n, ANY_VALUE(w_{a} * w_{b}) * COVAR_SAMP(r_{a}, r_{b}) AS part FROM co WHERE {ON[a]} AND {ON[b]} GROUP BY date" for a in attribution.ACTIVE for b in attribution.ACTIVE)}),
+sh AS (SELECT date, asset, MAX(n) AS n, SUM(part) AS part FROM pr WHERE n >= 30 GROUP BY 1, 2), va AS (SELECT *, SUM(part) OVER (PARTITION BY date) AS v FROM sh),
+rr AS (SELECT date, n, SQRT(v * 252) AS volatility, asset, part / v AS contribution FROM va WHERE v > 0)"""
+
+
+@query(final(RISK, "rr", "date", "n", "volatility!", "asset", "contribution!", digits=6), digits=6)
 def rolling_risk(spark, sf_dir):
     return attribution.rolling_risk(daily(spark, sf_dir))
 
 
+@query(final(f"{RISK}, la AS (SELECT * FROM rr WHERE date = (SELECT MAX(date) FROM rr))", "la", "date", "n", "volatility!", "asset", "contribution!", digits=6), digits=6)
+def latest_risk(spark, sf_dir):
+    return attribution.latest_risk(daily(spark, sf_dir))
+
+
 TB = f"""{ACC}, tb AS (SELECT *, CASE WHEN COUNT(*) FILTER (ret IS NOT NULL AND r_VTI IS NOT NULL) OVER w >= 13 AND COUNT(r_VTI) OVER w >= 13 THEN COVAR_SAMP(ret, r_VTI) OVER w / NULLIF(VAR_SAMP(r_VTI) OVER w, 0) END AS beta
   FROM ac WINDOW w AS (ORDER BY date ROWS BETWEEN 25 PRECEDING AND CURRENT ROW))"""
 

@@ -108,7 +108,23 @@ def audit(df: DataFrame, key: str = "ticker") -> DataFrame:
     return head.select("rows", "keys", "first", "last", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("nulls")) for c in df.columns))).alias("c")).select("c.*", "rows", "keys", "first", "last")
 
 
-def universe_sizes(df: DataFrame) -> DataFrame:
-    """(year, least, median, most) members a date."""
+def universe_sizes(df: DataFrame, by: str = "year") -> DataFrame:
+    """(year or month, least, median, most) members a date; a month goes by its first day."""
+    if by not in ("year", "month"):
+        raise ValueError(f"unknown span: {by}")
     daily = df.where("is_universe = 1").groupBy("date").agg(F.count("*").alias("n"))
-    return daily.groupBy(F.year("date").alias("year")).agg(F.min("n").alias("least"), F.median("n").alias("median"), F.max("n").alias("most"))
+    span = F.year("date") if by == "year" else F.trunc("date", "MM")
+    return daily.groupBy(span.alias(by)).agg(F.min("n").alias("least"), F.median("n").alias("median"), F.max("n").alias("most"))
+
+
+def ever_missing(df: DataFrame, key: str = "ticker") -> DataFrame:
+    """(column, ever_missing, keys): how many keys lack each column's value in some row, and how many there are."""
+    others = [c for c in df.columns if c != key]
+    per = df.groupBy(key).agg(*(F.max(F.col(c).isNull()).alias(c) for c in others)).where(F.col(key).isNotNull())
+    head = per.agg(F.count("*").alias("keys"), *(F.count_if(F.col(c)).alias(f"n_{c}") for c in others))
+    return head.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("ever_missing")) for c in others))).alias("c"), "keys").select("c.*", "keys")
+
+
+def years_of_history(df: DataFrame) -> DataFrame:
+    """(first, last, years) of a table with dates; a year has 365.25 days."""
+    return df.agg(F.min("date").alias("first"), F.max("date").alias("last")).withColumn("years", F.datediff("last", "first") / 365.25)

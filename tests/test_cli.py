@@ -38,7 +38,8 @@ def files(spark, tmp_path_factory):
     ("arguments", "made"),
     [
         (["research", "--prices", "p.parquet", "--universe", "u.csv", "--lookback", "5"], "raw_momentum_performance"), (["build", "--ohlc", "f.parquet", "--fundamentals", "f.parquet"], "manifest.json"),
-        (["audit", "--table", "f.parquet"], "audit"), (["events", "--panel", "h.parquet"], "REPORT.md"), (["attribution", "--trades", "t.csv"], "REPORT.md"), (["overlay", "--trades", "t.csv"], "comparison"),
+        (["audit", "--table", "f.parquet"], "audit.json"), (["audit", "--table", "f.parquet"], "sizes_by_month"), (["research", "--prices", "p.parquet", "--universe", "u.csv", "--lookback", "5", "--weights", "sector", "--cost-bps", "5"], "raw_momentum_weights"),
+        (["build", "--ohlc", "f.parquet", "--fundamentals", "f.parquet", "--stop-after", "panel"], "coverage"), (["attribution", "--trades", "t.csv", "--beta-window", "30"], "rolling_beta"), (["overlay", "--trades", "t.csv"], "beta"), (["events", "--panel", "h.parquet", "--days", "1"], "summary"), (["events", "--panel", "h.parquet"], "REPORT.md"), (["attribution", "--trades", "t.csv"], "REPORT.md"), (["overlay", "--trades", "t.csv"], "comparison"),
     ],
 )
 def test_studies_write_their_tables(spark, files, tmp_path, arguments, made):
