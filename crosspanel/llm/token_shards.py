@@ -26,7 +26,6 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
 import tiktoken
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,15 +76,15 @@ def _encoding(ranks_path: str) -> tiktoken.Encoding:
 
 
 def sequences(df: DataFrame, ranks_path: str, length: int = LENGTH) -> DataFrame:
-    """(task, place, doc_id, start, length, ids binary, digest) for each sequence of at most ``length`` ids; the digest is the whole text's, in its first sequence."""
-    source = common.texts_of(df)
+    """(task, place, doc_id, start, length, ids binary, digest) for each sequence of at most ``length`` ids; the digest is the whole text's."""
+    source = text_digests(df)
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, task, place = _encoding(ranks_path), TaskContext.get().partitionId(), 0
         item = 2 if encoding.max_token_value < 1 << 16 else 4
         for batch in common.slices(batches):
-            whose, starts, sizes, data, digests = [], [], [], [], []
+            whose, starts, sizes, data = [], [], [], []
             for doc, text in enumerate(common.column(batch, "text").to_pylist()):
                 ids = encoding.encode_to_numpy(text, disallowed_special=()).astype(f"<u{item}").tobytes()
                 for at in range(0, max(len(ids), 1), length * item):
@@ -94,10 +93,9 @@ def sequences(df: DataFrame, ranks_path: str, length: int = LENGTH) -> DataFrame
                     starts.append(at // item)
                     sizes.append(len(part) // item)
                     data.append(part)
-                    digests.append(None if at else _digest(text))
             n = len(whose)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, task, np.int32)), pa.array(np.arange(place, place + n)), common.column(batch, "doc_id").take(pa.array(whose)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary()), pa.array(digests, pa.int64())],
+                [pa.array(np.full(n, task, np.int32)), pa.array(np.arange(place, place + n)), common.column(batch, "doc_id").take(pa.array(whose)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary()), common.column(batch, "digest").take(pa.array(whose))],
                 ["task", "place", "doc_id", "start", "length", "ids", "digest"],
             )
             place += n
@@ -105,10 +103,6 @@ def sequences(df: DataFrame, ranks_path: str, length: int = LENGTH) -> DataFrame
     return source.mapInArrow(run, f"task int, place bigint, doc_id {kind}, start bigint, length bigint, ids binary, digest bigint")
 
 
-def _digest(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
 def input_digest(rows: DataFrame) -> list[str]:
     """Number and sum of hashes of (doc_id, digest)."""
     n, total = rows.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "digest").cast("decimal(38,0)"))).first()
@@ -116,15 +110,8 @@ def input_digest(rows: DataFrame) -> list[str]:
 
 
 def text_digests(df: DataFrame) -> DataFrame:
-    """(doc_id, digest) for each row, as its first sequence has it."""
-    source = common.texts_of(df)
-    kind = source.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([common.column(batch, "doc_id"), pa.array([_digest(t) for t in common.column(batch, "text").to_pylist()], pa.int64())], ["doc_id", "digest"])
-
-    return source.mapInArrow(run, f"doc_id {kind}, digest bigint")
+    """(doc_id, text, digest) for each row."""
+    return common.texts_of(df).withColumn("digest", F.xxhash64("text"))
 
 
 def qualified(spark: SparkSession, path: str) -> str:
