@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.functions.windows import frame, full_sum, series
+from crosspanel.operators.regress import stacked
 from crosspanel.panel import last_of_each, require_columns
 
 
@@ -60,6 +61,14 @@ def factor_rows(returns: DataFrame, config: StudyConfig) -> DataFrame:
     return returns.groupBy("timestamp").agg(pick(first).alias("btc"), pick(second).alias("eth"), F.when(F.count(alt) >= config.least_alts, F.median(alt)).alias("alt"))
 
 
+def inverses(x: np.ndarray) -> np.ndarray:
+    """Of a block of matrices; a singular one has its pseudo-inverse."""
+    try:
+        return np.linalg.inv(x)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(x) if len(x) == 1 else np.concatenate([inverses(half) for half in np.array_split(x, 2)])
+
+
 def factor_residuals(returns: DataFrame, factors: DataFrame, config: StudyConfig) -> DataFrame:
     """(timestamp, symbol, residual): against a ridge fit on the rows of the window before.
 
@@ -83,17 +92,10 @@ def factor_residuals(returns: DataFrame, factors: DataFrame, config: StudyConfig
 
     @F.pandas_udf("array<double>")
     def inverse(m: pd.Series) -> pd.Series:
-        ridge, out = np.diag([0.0] + [config.ridge] * 3), []
-        for flat in m:
-            x = np.array([np.nan if v is None else v for v in flat], float).reshape(4, 4)
-            if not np.isfinite(x).all():
-                out.append(None)
-                continue
-            try:
-                out.append(np.linalg.inv(x + ridge).ravel().tolist())
-            except np.linalg.LinAlgError:
-                out.append(np.linalg.pinv(x + ridge).ravel().tolist())
-        return pd.Series(out)
+        x = stacked(m, 4, 4)
+        complete = np.isfinite(x).all((1, 2))
+        solved = iter(inverses(x[complete] + np.diag([0.0] + [config.ridge] * 3)))
+        return pd.Series([next(solved).ravel().tolist() if c else None for c in complete])
 
     hours = moments.withColumn("inv", inverse("m"))
     rows = returns.select("timestamp", "symbol", "ret").join(factors, "timestamp").withColumn("_one", F.lit(1.0))

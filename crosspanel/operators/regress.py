@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -58,12 +59,13 @@ def cross_sections(rows: DataFrame, styles: Sequence[str] = (), least: int = 30,
         if n < least:
             return pd.DataFrame([(key[0], "date", None, None, None, "INSUFFICIENT_CROSS_SECTION", n)], columns=names)
         sectors = sorted(part["sector"].unique()) if use_sectors else ["ALL"]
-        dummies = np.array([(part["sector"] == s) for s in sectors]).T.astype(float) if use_sectors else np.ones((n, 1))
+        dummies = (part["sector"].to_numpy()[:, None] == np.array(sectors, object)).astype(float) if use_sectors else np.ones((n, 1))
         x = np.column_stack([part["beta"].to_numpy(float), dummies, part[list(styles)].to_numpy(float)])
         found = solve_wls(winsorize(part["ret"].to_numpy(float), share), x, part["weight"].to_numpy(float))
-        out = [(key[0], "factor", name, b, None, None, None) for name, b in zip(["BETA", *(f"SECTOR::{s}" for s in sectors), *styles], found.coefficients)]
-        out += [(key[0], "asset", a, e, f, None, None) for a, e, f in zip(part["asset"], found.residuals, found.fitted)]
-        return pd.DataFrame([*out, (key[0], "date", None, found.r2, found.orthogonality, "OK", n)], columns=names)
+        factors = pd.DataFrame({"kind": "factor", "name": ["BETA", *(f"SECTOR::{s}" for s in sectors), *styles], "value": found.coefficients})
+        assets = pd.DataFrame({"kind": "asset", "name": part["asset"].to_numpy(), "value": found.residuals, "extra": found.fitted})
+        date = pd.DataFrame({"kind": ["date"], "value": [found.r2], "extra": [found.orthogonality], "status": ["OK"], "n": [n]})
+        return pd.concat([factors, assets, date], ignore_index=True).assign(date=key[0]).reindex(columns=names).astype({"n": "Int64"})
 
     names = [f.split()[0] for f in FIT.split(", ")]
     return rows.select("date", "asset", "ret", "beta", "sector", "weight", *styles).groupBy("date").applyInPandas(fit, FIT)
@@ -79,6 +81,12 @@ def simple_regression(y: str, x: str, *keys: str, least: int = 5) -> list[Column
     return [n.alias("n"), F.when(enough, F.avg(py) - beta * F.avg(px)).alias("alpha"), F.when(enough, beta).alias("beta"), F.when(enough & (syy > 0), beta * sxy / syy).alias("r2")]
 
 
+def stacked(arrays: pd.Series, *shape: int) -> np.ndarray:
+    """A batch's arrays as one block of numbers, NaN for NULL."""
+    empty = [np.nan] * math.prod(shape)
+    return np.array([empty if a is None else a for a in arrays], dtype=float).reshape(-1, *shape)
+
+
 def moment_regression(rows: DataFrame, y: str, xs: Sequence[str], *keys: str) -> DataFrame:
     """(keys, n, alpha, betas, r2): OLS with intercept on complete rows from moments; NULL under max(5, k + 2) rows.
 
@@ -93,15 +101,15 @@ def moment_regression(rows: DataFrame, y: str, xs: Sequence[str], *keys: str) ->
 
     @F.pandas_udf("alpha double, betas array<double>, r2 double")
     def solve(m: pd.Series, centre: pd.Series, n: pd.Series) -> pd.DataFrame:
-        out = []
-        for flat, c, count in zip(m, centre, n):
-            moments = np.asarray(flat, float).reshape(k + 1, k + 1)
-            if count < max(5, k + 2):
-                out.append((None, None, None))
-                continue
-            beta = np.linalg.pinv(moments[1:, 1:], hermitian=True) @ moments[1:, 0]
-            out.append((c[0] - beta @ c[1:], beta.tolist(), beta @ moments[1:, 0] / moments[0, 0] if moments[0, 0] > 0 else None))
-        return pd.DataFrame(out, columns=["alpha", "betas", "r2"])
+        moments, means, count = stacked(m, k + 1, k + 1), stacked(centre, k + 1), n.to_numpy()
+        # Under the least count nothing is solved: such moments may hold anything.
+        enough = count >= max(5, k + 2)
+        moments[~enough] = 0
+        beta = (np.linalg.pinv(moments[:, 1:, 1:], hermitian=True) @ moments[:, 1:, :1])[..., 0]
+        explained, total = (beta * moments[:, 1:, 0]).sum(1), moments[:, 0, 0]
+        r2 = np.divide(explained, total, out=np.full(len(n), np.nan), where=total > 0)
+        alpha = means[:, 0] - (beta * means[:, 1:]).sum(1)
+        return pd.DataFrame({"alpha": np.where(enough, alpha, np.nan), "betas": [b.tolist() if e else None for b, e in zip(beta, enough)], "r2": r2})
 
     solved = crossed.join(centre, ["_all", *keys]).withColumn("_s", solve("m", "centre", "n"))
     return solved.select(*keys, "n", "_s.alpha", "_s.betas", "_s.r2")
@@ -125,22 +133,19 @@ def residual_momentum(rows: DataFrame, factors: Sequence[str], window: int = 36,
     formed = F.array(*(F.sum(product("_one", b)).over(recent) for b in names))
     held = base.select("date", "asset", sums.alias("m"), formed.alias("f"), F.count(product("_one", "_one")).over(recent).alias("k"))
 
+    places = np.array([[pairs.index((min(a, b, key=names.index), max(a, b, key=names.index))) for b in names] for a in names])
+
     @F.pandas_udf("double")
     def score(m: pd.Series, f: pd.Series, k: pd.Series) -> pd.Series:
-        out = []
-        for flat, recent_sums, count in zip(m, f, k):
-            if flat is None or flat[0] is None or not flat[0] >= least or count < formation:
-                out.append(None)
-                continue
-            full = np.zeros((5, 5))
-            for (a, b), v in zip(pairs, flat):
-                i, j = names.index(a), names.index(b)
-                full[i, j] = full[j, i] = v
-            beta = np.linalg.pinv(full[:4, :4], hermitian=True, rcond=1e-14) @ full[:4, 4]
-            sse = full[4, 4] - 2 * beta @ full[:4, 4] + beta @ full[:4, :4] @ beta
-            deviation = np.sqrt(max(sse, 0) / (full[0, 0] - 1))
-            total = recent_sums[4] - beta @ np.asarray(recent_sums[:4], float)
-            out.append(total / deviation if deviation > 0 else None)
-        return pd.Series(out, dtype="float64")
+        sums, recent_sums = stacked(m, len(pairs)), stacked(f, len(names))
+        usable = (np.nan_to_num(sums[:, 0]) >= least) & (k.to_numpy() >= formation)
+        full, recent_sums, out = sums[usable][:, places], recent_sums[usable], np.full(len(m), np.nan)
+        x, xy = full[:, :4, :4], full[:, :4, 4]
+        beta = (np.linalg.pinv(x, hermitian=True, rcond=1e-14) @ xy[..., None])[..., 0]
+        sse = full[:, 4, 4] - 2 * (beta * xy).sum(1) + np.einsum("ni,nij,nj->n", beta, x, beta)
+        deviation = np.sqrt(np.maximum(sse, 0) / (full[:, 0, 0] - 1))
+        total = recent_sums[:, 4] - (beta * recent_sums[:, :4]).sum(1)
+        out[usable] = np.divide(total, deviation, out=np.full(len(total), np.nan), where=deviation > 0)
+        return pd.Series(out)
 
     return held.select("date", "asset", score("m", "f", "k").alias("score")).where("score IS NOT NULL")

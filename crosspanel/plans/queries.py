@@ -375,7 +375,30 @@ def cross_section_wls(spark, sf_dir):
     return regress.cross_sections(rows, least=10, share=0.02)
 
 
-@query(digits=5)
+def three_betas(s: Callable[[int, int], str], c: Callable[[int], str]) -> list[str]:
+    """The coefficients of three normal equations by Cramer's rule, from SQL for their moments."""
+    rows, right = [[s(i, j) for j in (1, 2, 3)] for i in (1, 2, 3)], [c(i) for i in (1, 2, 3)]
+
+    def det(m: list[list[str]]) -> str:
+        (p, q, r), (u, v, w), (x, y, z) = m
+        return f"({p} * ({v} * {z} - {w} * {y}) - {q} * ({u} * {z} - {w} * {x}) + {r} * ({u} * {y} - {v} * {x}))"
+
+    swapped = [[[right[i] if j == k else rows[i][j] for j in range(3)] for i in range(3)] for k in range(3)]
+    return [f"{det(m)} / {det(rows)}" for m in swapped]
+
+
+FS = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
+LONG = f"""{RET}, mo AS (SELECT last_day(date) AS date, asset, CASE WHEN COUNT(ret) > 0 THEN product(1 + ret) - 1 END AS ret FROM r GROUP BY 1, 2),
+fa AS (SELECT date, AVG(ret) AS f1, MAX(ret) - MIN(ret) AS f2, MEDIAN(ret) AS f3 FROM mo GROUP BY 1), jo AS (SELECT mo.*, f1, f2, f3, ROW_NUMBER() OVER (PARTITION BY asset ORDER BY date) AS rn FROM mo JOIN fa USING (date)),
+ma AS (SELECT a.date, a.asset, COUNT(*) AS n, COUNT(*) FILTER (b.rn BETWEEN a.rn - 12 AND a.rn - 2) AS k, SUM(b.ret) FILTER (b.rn BETWEEN a.rn - 12 AND a.rn - 2) AS ky, AVG(b.ret) AS my, VAR_POP(b.ret) AS cyy,
+  {", ".join(f"AVG(b.f{i}) AS m{i}, COVAR_POP(b.f{i}, b.ret) AS c{i}, SUM(b.f{i}) FILTER (b.rn BETWEEN a.rn - 12 AND a.rn - 2) AS k{i}" for i in (1, 2, 3))}, {", ".join(f"COVAR_POP(b.f{i}, b.f{j}) AS s{i}{j}" for i, j in FS)}
+  FROM jo a JOIN jo b ON a.asset = b.asset AND b.rn BETWEEN a.rn - 36 AND a.rn - 1 WHERE b.ret IS NOT NULL AND b.f1 IS NOT NULL AND b.f2 IS NOT NULL AND b.f3 IS NOT NULL GROUP BY 1, 2),
+bt AS (SELECT *, {", ".join(f"{b} AS b{i}" for i, b in enumerate(three_betas(lambda i, j: f"s{min(i, j)}{max(i, j)}", lambda i: f"c{i}"), 1))} FROM ma WHERE n >= 24 AND k >= 11),
+sc AS (SELECT date, asset, ky - k * (my - b1 * m1 - b2 * m2 - b3 * m3) - b1 * k1 - b2 * k2 - b3 * k3 AS total, n * (cyy - b1 * c1 - b2 * c2 - b3 * c3) / (n - 1) AS variance FROM bt),
+o AS (SELECT date, asset, total / sqrt(variance) AS score FROM sc WHERE variance > 0)"""
+
+
+@query(final(LONG, "o", "date", "asset", "score!", digits=5), digits=5)
 def residual_momentum_36m(spark, sf_dir):
     monthly = dense(signals.monthly_compound(weekly(spark, sf_dir)), "ret")
     factors = monthly.groupBy("date").agg(F.avg("ret").alias("f1"), (F.max("ret") - F.min("ret")).alias("f2"), F.median("ret").alias("f3"))
@@ -394,13 +417,34 @@ def hourly(spark, sf_dir):
     return events.valid_panel(fixtures.frame(spark, sf_dir, fixtures.PX_HOUR))
 
 
-@query(final(f"""{HP}, o AS (SELECT timestamp, MAX(ret) FILTER (symbol = 'CLICK') AS btc, MAX(ret) FILTER (symbol = 'PURCHASE') AS eth,
-  CASE WHEN COUNT(ret) FILTER (symbol NOT IN ('CLICK', 'PURCHASE')) >= 3 THEN MEDIAN(ret) FILTER (symbol NOT IN ('CLICK', 'PURCHASE')) END AS alt FROM lr GROUP BY 1)""", "o", "timestamp", "btc!", "eth!", "alt!"))
+HF = f"""{HP}, o AS (SELECT timestamp, MAX(ret) FILTER (symbol = 'CLICK') AS btc, MAX(ret) FILTER (symbol = 'PURCHASE') AS eth,
+  CASE WHEN COUNT(ret) FILTER (symbol NOT IN ('CLICK', 'PURCHASE')) >= 3 THEN MEDIAN(ret) FILTER (symbol NOT IN ('CLICK', 'PURCHASE')) END AS alt FROM lr GROUP BY 1)"""
+
+
+@query(final(HF, "o", "timestamp", "btc!", "eth!", "alt!"))
 def hourly_factors(spark, sf_dir):
     return events.factor_rows(events.log_returns(events.hourly_grid(hourly(spark, sf_dir))), HOURLY)
 
 
-@query(digits=6)
+def enough(value: str, window: str) -> str:
+    return f"CASE WHEN COUNT({value}) OVER {window} >= 48 THEN SUM({value}) OVER {window} END"
+
+
+X3 = {1: "btc", 2: "eth", 3: "alt"}
+X_KNOWN = " AND ".join(f"{x} IS NOT NULL" for x in X3.values())
+FEATURES = f"""{HF}, fm AS (SELECT *, {enough("1", "w")} AS n, {", ".join(f"{enough(x, 'w')} AS s{i}" for i, x in X3.items())}, {", ".join(f"{enough(f'{X3[i]} * {X3[j]}', 'w')} AS q{i}{j}" for i, j in FS)},
+  COUNT(CASE WHEN {X_KNOWN} THEN 1 END) OVER w AS factor_rows FROM o WINDOW w AS (ORDER BY timestamp ROWS BETWEEN 72 PRECEDING AND 1 PRECEDING)),
+sy AS (SELECT lr.*, {enough("ret", "w")} AS y0, {", ".join(f"{enough(f'{x} * ret', 'w')} AS y{i}" for i, x in X3.items())}, COUNT(CASE WHEN {X_KNOWN} AND ret IS NOT NULL THEN 1 END) OVER w AS joint
+  FROM lr JOIN o USING (timestamp) WINDOW w AS (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN 72 PRECEDING AND 1 PRECEDING)),
+sm AS (SELECT sy.*, fm.* EXCLUDE (timestamp), {", ".join(f"q{i}{j} {'+ 1e-8 ' if i == j else ''}- s{i} * s{j} / n AS e{i}{j}" for i, j in FS)}, {", ".join(f"y{i} - s{i} * y0 / n AS d{i}" for i in X3)} FROM sy JOIN fm USING (timestamp)),
+sb AS (SELECT *, {", ".join(f"{b} AS b{i}" for i, b in enumerate(three_betas(lambda i, j: f"e{min(i, j)}{max(i, j)}", lambda i: f"d{i}"), 1))} FROM sm),
+sr AS (SELECT *, CASE WHEN joint >= factor_rows AND joint >= 48 THEN ret - (y0 - b1 * s1 - b2 * s2 - b3 * s3) / n - b1 * btc - b2 * eth - b3 * alt END AS residual FROM sb),
+hf AS (SELECT timestamp, symbol, open, close, ret, residual, close / LAG(close, 24) OVER t - 1 AS raw_move, CASE WHEN COUNT(residual) OVER w = 24 THEN exp(SUM(residual) OVER w) - 1 END AS residual_move,
+  CASE WHEN COUNT(quote_volume) OVER w = 24 THEN SUM(quote_volume) OVER w END AS quote_volume_sum
+  FROM sr WINDOW t AS (PARTITION BY symbol ORDER BY timestamp), w AS (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"""
+
+
+@query(final(FEATURES, "hf", "timestamp", "symbol", *(f"{c}!" for c in ("open", "close", "ret", "residual", "raw_move", "residual_move", "quote_volume_sum")), digits=6), digits=6)
 def hourly_features(spark, sf_dir):
     return events.features(hourly(spark, sf_dir), HOURLY)
 
@@ -433,13 +477,23 @@ def all_events(spark, sf_dir):
     return events.events(events.features(hourly(spark, sf_dir), HOURLY), HOURLY)
 
 
-@query(digits=6)
+H5 = HOURLY.horizons
+BOTH = f"""RECURSIVE {FEATURES}, ah AS (SELECT *, epoch(timestamp)::BIGINT AS sec, LEAD(open) OVER t AS entry_open, {", ".join(f"LEAD(close, {h}) OVER t AS x{h}" for h in H5)} FROM hf WINDOW t AS (PARTITION BY symbol ORDER BY timestamp)),
+li AS (SELECT * FROM ah WHERE symbol NOT IN ('CLICK', 'PURCHASE') AND quote_volume_sum >= 300),
+ht AS MATERIALIZED (SELECT 'raw_pump' AS signal, * FROM li WHERE raw_move >= 0.5 UNION ALL SELECT 'residual_pump', * FROM li WHERE residual_move >= 0.3),
+kp AS (SELECT signal, symbol, MIN(sec) AS sec FROM ht GROUP BY 1, 2 UNION ALL SELECT k.signal, k.symbol, (SELECT MIN(h.sec) FROM ht h WHERE h.signal = k.signal AND h.symbol = k.symbol AND h.sec >= k.sec + 86400) FROM kp k WHERE k.sec IS NOT NULL),
+ev AS (SELECT h.signal, h.symbol, h.timestamp AS signal_timestamp, h.entry_open, {", ".join(f"h.x{h} / h.entry_open - 1 AS asset_fwd_{h}h, 1 - h.x{h} / h.entry_open - 0.002 AS short_net_{h}h" for h in H5)}
+  FROM ht h JOIN kp k ON h.signal = k.signal AND h.symbol = k.symbol AND h.sec = k.sec WHERE h.entry_open > 0)"""
+
+
+@query(final(BOTH, "ev", "signal", "symbol", "signal_timestamp", "entry_open!", *(f"{n}_{h}h!" for h in H5 for n in ("asset_fwd", "short_net")), digits=6), digits=6)
 def pump_events(spark, sf_dir):
-    """Both signals at all five horizons; SQL has the raw one only, as ``raw_pump_events``."""
+    """Both signals at all five horizons."""
     return all_events(spark, sf_dir)
 
 
-@query(digits=6)
+@query(final(f"""{BOTH}, ul AS ({" UNION ALL ".join(f"SELECT signal, {h} AS horizon, short_net_{h}h AS s FROM ev" for h in H5)}),
+su AS (SELECT signal, CAST(horizon AS INT) AS horizon, COUNT(s) AS n, AVG(s) AS mean, MEDIAN(s) AS median, AVG(CASE WHEN s > 0 THEN 1.0 WHEN s <= 0 THEN 0.0 END) AS hit_rate FROM ul GROUP BY 1, 2)""", "su", "signal", "horizon", "n", "mean!", "median!", "hit_rate!", digits=6), digits=6)
 def pump_summary(spark, sf_dir):
     return events.event_summary(all_events(spark, sf_dir), HOURLY)
 
