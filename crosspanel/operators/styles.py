@@ -59,3 +59,8 @@ def style_factors(inputs: DataFrame, share: float = 0.01, power: float = 0.5) ->
     size, value = _coefficients()
     rows = _styles(inputs, share, power).select("date", "market", size.alias("size"), value.alias("value"))
     return rows.groupBy("date").agg(F.first("market").alias("market"), F.lit(0.0).alias("all_sector"), F.first("size").alias("size"), F.first("value").alias("value"))
+
+
+def legacy_factors(inputs: DataFrame) -> DataFrame:
+    """The factors as older notebooks asked for them: a tenth of each tail is pulled in."""
+    return style_factors(inputs, share=0.10)

@@ -54,3 +54,24 @@ def last_of_each(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """Of rows with equal keys the one that came last by an explicit sequence column."""
     columns = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(sequence)).alias("_last")).select(*keys, *(F.col(f"_last.{c}").alias(c) for c in columns))
+
+
+def latest(df: DataFrame, date: str = "date") -> DataFrame:
+    """The rows of the greatest date; none where every date is NULL."""
+    last = df.agg(F.max(date).alias("_last"))
+    return df.join(F.broadcast(last), F.col(date) == F.col("_last")).drop("_last")  # one row
+
+
+def wide(df: DataFrame, columns: Iterable[str], value: str, date: str = "date", asset: str = "asset") -> DataFrame:
+    """(date, a column for each name given), for export: the greatest value of a date and asset, NULL where there is none."""
+    return df.groupBy(date).pivot(asset, list(columns)).agg(F.max(value))
+
+
+def long(df: DataFrame, value: str, date: str = "date", asset: str = "asset") -> DataFrame:
+    """(date, asset, value) from a wide panel; NULLs stay as rows."""
+    return df.unpivot(date, [c for c in df.columns if c != date], asset, value)
+
+
+def outer_aligned(left: DataFrame, right: DataFrame, date: str = "date") -> DataFrame:
+    """Two series side by side on the dates that either has; a column of a date that its side lacks is NULL."""
+    return left.join(right, date, "full")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.operators import attribution, betas, events, metrics, overlay, pit, portfolio, regress, risk_model, signals, styles
-from crosspanel.panel import dense
+from crosspanel.panel import aligned, dense, latest, outer_aligned, wide
 from crosspanel.plans import fixtures, gate
 from crosspanel.sources.readers import returns_of
-from crosspanel.sources.store import audit, ever_missing, universe_sizes
+from crosspanel.sources.store import audit, ever_missing, universe_sizes, years_of_history
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 8
@@ -274,6 +274,27 @@ def pit_coverage(spark, sf_dir):
     return pit.build_panel(px, px)[1]
 
 
+def at_place(column: str, share: float) -> str:
+    return f"list_sort(LIST({column}) FILTER ({column} IS NOT NULL))[CAST(floor({share} * (COUNT({column}) - 1) + 0.5) AS INT) + 1]"
+
+
+RATIOS = ("market_cap_coverage", "price_to_book_coverage")
+
+
+@query(final(f"""{LAGS}, su AS (SELECT {", ".join(f"MIN({c}) AS min_{c}, MEDIAN({c}) AS median_{c}, {at_place(c, 0.05)} AS p05_{c}" for c in RATIOS)} FROM cv)""", "su", *(f"{k}_{c}!" for c in RATIOS for k in ("min", "median", "p05"))))
+def pit_coverage_summary(spark, sf_dir):
+    px = prices(spark, sf_dir)
+    return pit.coverage_summary(pit.build_panel(px, px)[1])
+
+
+@query(final(f"""{RET}, {LAGS.removeprefix(PX + ", ")}, dd AS (SELECT date FROM r INTERSECT SELECT date FROM pn), aa AS (SELECT asset FROM r INTERSECT SELECT ticker FROM pn),
+al AS (SELECT dd.date, aa.asset, r.ret, pn.market_cap FROM dd CROSS JOIN aa LEFT JOIN r ON r.date = dd.date AND r.asset = aa.asset LEFT JOIN pn ON pn.date = dd.date AND pn.ticker = aa.asset)""", "al", "date", "asset", "ret!", "market_cap!", digits=6), digits=6)
+def aligned_panels(spark, sf_dir):
+    """Returns and point-in-time market caps on the dates and assets that both have."""
+    right = pit_panel(spark, sf_dir).select("date", F.col("ticker").alias("asset"), "market_cap")
+    return aligned(weekly(spark, sf_dir).select("date", "asset", "ret"), right)
+
+
 @query(f"{final(LAGS, 'pn', 'date', 'asset_id', 'ticker', 'asset_returns!', 'market_cap!', 'book_price!', digits=6)}", digits=6)
 def pit_panel(spark, sf_dir):
     px = prices(spark, sf_dir)
@@ -311,6 +332,11 @@ def style_factors(spark, sf_dir):
     return styles.style_factors(styled(spark, sf_dir))
 
 
+@query(final(FIT.replace("ret, 0.01)", "ret, 0.10)").replace("ret, 0.99)", "ret, 0.90)"), "fc", "date", "market!", "all_sector!", "size!", "value!", digits=6), digits=6)
+def legacy_style_factors(spark, sf_dir):
+    return styles.legacy_factors(styled(spark, sf_dir))
+
+
 RESID = f"{FIT}, rs AS (SELECT f2.date, f2.ticker, f2.ret, f2.y - f2.market - f2.size * fc.size - f2.value * fc.value AS residual FROM f2 JOIN fc USING (date))"
 
 
@@ -361,6 +387,25 @@ def audit_sizes_by_month(spark, sf_dir):
     return universe_sizes(prices(spark, sf_dir), by="month")
 
 
+@query(final(f"{PX}, yh AS (SELECT MIN(date) AS first, MAX(date) AS last, date_diff('day', MIN(date), MAX(date)) / 365.2425::DOUBLE AS years FROM px)", "yh", "first", "last", "years!"))
+def audit_history(spark, sf_dir):
+    return years_of_history(prices(spark, sf_dir))
+
+
+@query(final(f"{PX}, la AS (SELECT * FROM px WHERE date = (SELECT MAX(date) FROM px))", "la", "date", "ticker", "close!", "market_cap!", digits=6), digits=6)
+def latest_prices(spark, sf_dir):
+    return latest(prices(spark, sf_dir)).select("date", "ticker", "close", "market_cap")
+
+
+#: All brands, as names of columns.
+BRANDS = {f"Brand#{i}{j}": f"brand_{i}{j}" for i in range(1, 6) for j in range(1, 6)}
+
+
+@query(final(f"""{RET}, wd AS (SELECT date, {", ".join(f"MAX(ret) FILTER (asset = '{b}') AS {c}" for b, c in BRANDS.items())} FROM r GROUP BY 1)""", "wd", "date", *(f"{c}!" for c in BRANDS.values())))
+def wide_returns(spark, sf_dir):
+    return wide(weekly(spark, sf_dir), BRANDS, "ret").withColumnsRenamed(BRANDS)
+
+
 MISSING = " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(DISTINCT CASE WHEN {c} IS NULL THEN ticker END) AS ever_missing, COUNT(DISTINCT ticker) AS keys FROM px" for c in ("market_cap", "price_to_book"))
 
 
@@ -413,6 +458,11 @@ hg AS (SELECT a.timestamp, b.symbol, u.open, u.close, u.quote_volume FROM (SELEC
 lr AS (SELECT *, ln(close) - ln(LAG(close) OVER (PARTITION BY symbol ORDER BY timestamp)) AS ret FROM hg)"""
 
 
+@query(final(HP, "up", "timestamp", "symbol", "open!", "close!", "quote_volume!"))
+def valid_hours(spark, sf_dir):
+    return hourly(spark, sf_dir)
+
+
 def hourly(spark, sf_dir):
     return events.valid_panel(fixtures.frame(spark, sf_dir, fixtures.PX_HOUR))
 
@@ -514,6 +564,12 @@ def daily(spark, sf_dir):
     return attribution.accounts(fixtures.frame(spark, sf_dir, fixtures.TRADES))
 
 
+@query(final(f"""{RET}, mk AS (SELECT date, AVG(ret) AS market FROM r GROUP BY 1), {ACC}, oj AS (SELECT date, market, ret FROM mk FULL JOIN ac USING (date))""", "oj", "date", "market!", "ret!"))
+def outer_aligned_returns(spark, sf_dir):
+    """The market's and the strategy's returns on the dates that either has."""
+    return outer_aligned(weekly(spark, sf_dir).groupBy("date").agg(F.avg("ret").alias("market")), daily(spark, sf_dir).select("date", "ret"))
+
+
 @query(final(ACC, "ac", "date", "nav!", "prior_nav!", "fees!", "ret!", "state", "held_state", "gross_exposure!", "r_VOL!", "total_pnl!", *(f"{n}_{t}!" for n in ("w", "r", "pnl") for t in S5)))
 def trade_accounts(spark, sf_dir):
     return daily(spark, sf_dir)

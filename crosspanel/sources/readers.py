@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,54 @@ def read_frame(spark: SparkSession, path: str) -> DataFrame:
 UNIVERSE = {"Symbol": "ticker", "Security": "company", "GICS Sector": "sector", "GICS Sub-Industry": "industry"}
 
 
+class _Tables(HTMLParser):
+    """The texts of a page's tables by table, row and cell; a table within a cell counts as its own."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.tables: list[list[list[str]]] = []
+        self._open: list[list[list[str]]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "table":
+            self._open.append([])
+            self.tables.append(self._open[-1])
+        elif self._open and tag == "tr":
+            self._open[-1].append([])
+        elif self._open and tag in ("td", "th") and self._open[-1]:
+            self._open[-1][-1].append("")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "table" and self._open:
+            self._open.pop()
+
+    def handle_data(self, data: str) -> None:
+        if self._open and self._open[-1] and self._open[-1][-1]:
+            self._open[-1][-1][-1] += data
+
+
+def page_table(page: str, names: Iterable[str]) -> list[dict[str, str]]:
+    """The rows of the first table of a page whose first row has these names; ValueError where none has. Rows that are short go."""
+    parser, names = _Tables(), list(names)
+    parser.feed(page)
+    for table in parser.tables:
+        head, *rows = [[" ".join(cell.split()) for cell in row] for row in table if row] or [[]]
+        if set(names) <= set(head):
+            return [{n: row[head.index(n)] for n in names} for row in rows if len(row) >= len(head)]
+    raise ValueError(f"no table of the page has the columns {', '.join(names)}")
+
+
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
-    """(ticker, yahoo_ticker, company, sector, industry) from a constituents CSV, in the source's or this form."""
-    rows = spark.read.option("header", True).csv(path)
+    """(ticker, yahoo_ticker, company, sector, industry) from a constituents CSV, in the source's or this form, or from a saved page (.html, .htm).
+
+    A page is one document of a few thousand rows; the driver reads its table.
+    """
+    if path.lower().endswith((".html", ".htm")):
+        page = spark.read.text(path, wholetext=True).first()
+        found = page_table(page[0] if page else "", UNIVERSE)
+        rows = spark.createDataFrame([tuple(r.values()) for r in found], ", ".join(f"`{n}` string" for n in UNIVERSE))
+    else:
+        rows = spark.read.option("header", True).csv(path)
     if {"ticker", "sector", "industry"} <= set(rows.columns):
         return rows
     require_columns(rows, UNIVERSE, "universe")

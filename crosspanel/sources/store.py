@@ -126,5 +126,5 @@ def ever_missing(df: DataFrame, key: str = "ticker") -> DataFrame:
 
 
 def years_of_history(df: DataFrame) -> DataFrame:
-    """(first, last, years) of a table with dates; a year has 365.25 days."""
-    return df.agg(F.min("date").alias("first"), F.max("date").alias("last")).withColumn("years", F.datediff("last", "first") / 365.25)
+    """(first, last, years) of a table with dates; a year has 365.2425 days."""
+    return df.agg(F.min("date").alias("first"), F.max("date").alias("last")).withColumn("years", F.datediff("last", "first") / 365.2425)

@@ -9,10 +9,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from crosspanel import panel as panels
 from crosspanel.functions import windows as win
 from crosspanel.operators import attribution, betas, events, metrics, overlay, pit, portfolio, regress, risk_model, signals
 from crosspanel.panel import last_of_each, require_columns, require_unique
-from crosspanel.plans import gate
+from crosspanel.plans import designs, gate
 from crosspanel.sources import archive, capabilities, readers, store
 
 DAY = dt.date(2020, 1, 1)
@@ -330,6 +331,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "BTCUSDT-1h-2024-02.zip").write_bytes(again.getvalue())
     (tmp_path / "ETHUSDT-1h-2024-01.zip").write_bytes(buffer.getvalue())
     whole = archive.read_archives(spark, str(tmp_path), dt.datetime(2024, 1, 1, tzinfo=utc), dt.datetime(2024, 1, 2, tzinfo=utc), ["btcusdt"]).orderBy("timestamp").collect()
+    recent, absent = archive.read_recent(spark, str(tmp_path), 31, ["btcusdt", "zusdt"], dt.datetime(2024, 2, 5))
+    assert absent == ["ZUSDT"] and recent.count() == len(whole)
     assert [r.close for r in whole] == [6.0, 2.0, 3.0] and {r.symbol for r in whole} == {"BTCUSDT"}
     with pytest.raises(ValueError, match="zip"):
         archive.lines_of(b"no", "x")
@@ -352,6 +355,32 @@ def test_sources(spark, tmp_path):
         readers.read_frame(spark, "x.xyz")
     (tmp_path / "u.csv").write_text("Symbol,Security,GICS Sector,GICS Sub-Industry\nBRK.B,Berkshire,Fin,Ins\n")
     assert readers.read_universe(spark, str(tmp_path / "u.csv")).first().yahoo_ticker == "BRK-B"
+    cells = lambda tag, *texts: "<tr>" + "".join(f"<{tag}>{t}</{tag}>" for t in texts) + "</tr>"
+    body = cells("th", "No", *readers.UNIVERSE) + cells("td", 1, "<a href='#'>BRK.B</a>", "Berkshire &amp; Co", " Fin\n", "Ins") + cells("td", "short")
+    (tmp_path / "u.html").write_text(f"<table>{cells('th', 'other')}</table><p>text</p><table>\n{body}</table>")
+    assert [tuple(r) for r in readers.read_universe(spark, str(tmp_path / "u.html")).collect()] == [("BRK.B", "BRK-B", "Berkshire & Co", "Fin", "Ins")]
+    with pytest.raises(ValueError, match="no table"):
+        readers.page_table("<table></table><p>", ["Symbol"])
+
+
+def test_designs(spark):
+    design = designs.ResearchDesign()
+    assert (design.incremental_alpha_hurdle, design.target_vol, design.registered_trials, design.characteristic_coverage_floor) == (0.03, 0.10, 2, 0.90) and design.to_dict()["case_c_incremental_risk_budget"] == 0.25
+    assert "index" not in " ".join(designs.UniverseConfig().validate().__dataclass_fields__)
+    for wrong in (designs.ResearchDesign(registered_trials=3), designs.ResearchDesign(desired_power=1.0), designs.UniverseConfig(adv_min_periods=64), designs.UniverseConfig(top_n_by_dollar_volume=1), designs.UniverseConfig(price_floor=0.0)):
+        with pytest.raises(ValueError, match="out of range"):
+            wrong.validate()
+    bars = spark.createDataFrame([(DAY + dt.timedelta(days=i), "a", 10.0, 100.0, 0.0) for i in range(4)], "date date, asset_id string, close_unadjusted double, volume_unadjusted double, total_return double")
+    history = bars.select("date", "asset_id", F.lit(True).alias("is_common_stock"), F.lit(True).alias("is_major_exchange"))
+    rules = designs.UniverseConfig(adv_window_days=2, adv_min_periods=2, min_dollar_volume=1000.0, min_history_days=2)
+    assert [r.eligible for r in rules.universe(bars, history).orderBy("date").collect()] == [False, False, True, True]
+
+
+def test_wide_and_latest(spark):
+    rows = spark.createDataFrame([(DAY, "a", 1.0), (DAY, "b", None), (DAY + dt.timedelta(days=1), "a", 2.0), (None, "a", 9.0)], "date date, asset string, value double")
+    assert [tuple(r) for r in panels.wide(rows.where("date IS NOT NULL"), ["a", "b"], "value").orderBy("date").collect()] == [(DAY, 1.0, None), (DAY + dt.timedelta(days=1), 2.0, None)]
+    assert panels.long(panels.wide(rows, ["a", "b"], "value"), "value").count() == 6
+    assert [r.value for r in panels.latest(rows).collect()] == [2.0] and panels.latest(rows.where("date IS NULL")).isEmpty()
 
 
 def test_store(spark, tmp_path):
